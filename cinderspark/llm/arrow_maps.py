@@ -22,18 +22,15 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 
 def map_texts(
-    df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch, list[str]], dict[str, object]]
+    df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array]]
 ) -> DataFrame:
-    """``work(batch, texts)`` gives the columns of ``schema`` for each slice; a null text comes as empty."""
-    names = [part.split()[0] for part in schema.split(",")]
+    """``work(batch, texts)`` gives the columns of ``schema``, in its order, for each slice; a null text comes as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 made = work(part, texts)
-                yield pa.RecordBatch.from_arrays(
-                    [v if isinstance(v, pa.Array) else pa.array(v) for v in (made[n] for n in names)], names=names
-                )
+                yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     return df.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, token_counts
+from . import bpe_codec, decontamination, exact_dedup, simhash, token_counts, token_files
 from .runtime import table
 
 #: Folder of the public vocabulary files; the package that ships them tells it.
@@ -24,12 +24,24 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest_documents(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_check(table(spark, sf_dir, "documents"), vocab("word_bpe_49k.json"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op10_exact_dedup)
+    f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op6_token_files, op8_simhash, op9_decontamination, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
