@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, exact_dedup, simhash, token_counts, token_files
+from . import bpe_codec, decontamination, exact_dedup, simhash, token_counts, token_files, toxicity
 from .runtime import table
 
 #: Folder of the public vocabulary files; the package that ships them tells it.
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocab("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest_documents(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"))
 
@@ -41,7 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op6_token_files, op8_simhash, op9_decontamination, op10_exact_dedup)
+    f.__name__: f for f in (op2_token_counts, op3_toxicity, op4_bpe_codec, op6_token_files, op8_simhash, op9_decontamination, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
