@@ -328,6 +328,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col(id_col).alias("_bad"))
+    bad = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col(id_col).alias("__rejected"))
     bad = staged(bad, "op9-contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__rejected")), "left_anti")

@@ -90,7 +90,7 @@ def exact_groups(
         .select("digest", _preferred_id(F.col("best")).alias("keep_id"), "group_size")
     )
     groups = staged(groups, "op10-groups")
-    out = salted_join(digests, groups.withColumnRenamed("digest", "_d").withColumnRenamed("_d", "digest"), "digest", hot)
+    out = salted_join(digests, groups, "digest", hot)
     clashing = groups.groupBy("digest").count().where("count > 1").select("digest")
     if clashing.limit(1).count():
         # distinct contents under one digest: these few documents are told apart by content itself
@@ -116,8 +116,17 @@ def exact_groups(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat id and text, one."""
-    keepers = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keepers, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
+    """The rows that stay, with all their columns; of rows that repeat id and text, one.
+
+    Rows are matched by id and digest, so ids that are null or given twice do no harm.
+    """
+    mark = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    keepers = exact_groups(docs, id_col, text_col).where("kept")
+    keepers = keepers.select(mark(F.col(id_col)).alias("__op10_id"), F.col("text_sha256").alias("__op10_digest")).distinct()
+    keepers = staged(keepers, "op10-keepers")
+    keyed = docs.withColumns(
+        {"__op10_id": mark(F.col(id_col)), "__op10_digest": sha256_hex(normalised(F.col(text_col)))}
+    )
+    kept = keyed.join(keepers, ["__op10_id", "__op10_digest"], "left_semi")
+    one = Window.partitionBy("__op10_id", "__op10_digest").orderBy(F.length(text_col).desc_nulls_last())
+    return kept.withColumn("__op10_row", F.row_number().over(one)).where("__op10_row = 1").select(docs.columns)

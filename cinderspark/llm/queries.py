@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, exact_dedup, secret_scan, simhash, token_counts, token_files, toxicity
+from . import bpe_codec, decontamination, exact_dedup, html_render, pii_surrogates, secret_scan, simhash, token_counts, token_files, toxicity
 from .runtime import table
 
 #: Folder of the public vocabulary files; the package that ships them tells it.
@@ -16,6 +16,14 @@ def vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Stands in for the secret that a production run passes.
+SURROGATE_KEY = b"cinderspark surrogate key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocab("word_bpe_49k.json"))
 
@@ -36,6 +44,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_check(table(spark, sf_dir, "documents"), vocab("word_bpe_49k.json"))
 
 
+def op7_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.render_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_toxicity, op4_bpe_codec, op5_secret_scan, op6_token_files, op8_simhash, op9_decontamination, op10_exact_dedup)
+    f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_toxicity, op4_bpe_codec, op5_secret_scan, op6_token_files, op7_html_render, op8_simhash, op9_decontamination, op10_exact_dedup)
 }
 
 _SECRETS = {"assign": secret_scan.ASSIGN, "access": secret_scan.ACCESS, "hex": secret_scan.HEX, "candidate": "[A-Za-z0-9+/_=-]{20,}"}

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_maps import map_texts
@@ -135,7 +135,13 @@ def near_groups(
 
 
 def deduplicate(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the least of their component, with all their columns."""
-    keep = near_groups(docs, words, bits, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    """One document of each component, that of the least id, with all its columns; of rows that repeat an id, one.
+
+    Rows without an id can't be told apart and all stay.
+    """
+    keep = near_groups(docs, words, bits, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    keep = staged(keep.select(F.col(id_col).alias("__op8_keep")).distinct(), "op8-keepers")
+    kept = docs.join(keep, F.col(id_col) == F.col("__op8_keep"), "left_semi")
+    one = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
+    kept = kept.withColumn("__op8_row", F.row_number().over(one)).where("__op8_row = 1").select(docs.columns)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

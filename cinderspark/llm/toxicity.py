@@ -284,6 +284,6 @@ def score_documents(
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    bad = score_documents(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("_bad"))
+    bad = score_documents(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__rejected"))
     bad = staged(bad, "op3-rejected")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__rejected")), "left_anti")
