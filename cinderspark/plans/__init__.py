@@ -1,0 +1,6 @@
+"""All registered plans."""
+
+from . import feature_plans, raster_plans, weather_plans  # noqa: F401
+from .registry import registry
+
+__all__ = ["registry"]
