@@ -74,7 +74,7 @@ def rollup(samples: DataFrame, keys: list[str], least: int, extra: dict[str, Col
         known = known.where(F.col(k).isNotNull())
     out = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("problems"),
-        F.bround(percentile(F.col("dnbr_median"), 0.5), 4).alias("dnbr_median"),
+        F.bround(percentile(F.col("dnbr_median"), 0.5), 6).alias("dnbr_median"),
         F.bround(percent_where(F.col("dnbr_median") >= BURNED), 1).alias("pct_burned"),
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
@@ -84,7 +84,7 @@ def rollup(samples: DataFrame, keys: list[str], least: int, extra: dict[str, Col
 def circuits(samples: DataFrame) -> DataFrame:
     """By (area, colour), at least five features."""
     extra = {
-        "dnbr_p90": F.bround(percentile(F.col("dnbr_median"), 0.9), 4),
+        "dnbr_p90": F.bround(percentile(F.col("dnbr_median"), 0.9), 6),
         "n_unresolved": F.sum(F.coalesce(F.col("edge").cast("long"), F.lit(0))),
     }
     return rollup(samples, ["area_name", "colour"], 5, extra)

@@ -90,13 +90,13 @@ def g8(spark, sf_dir):
 _PCT = "round_even(sum((dnbr_median >= 0.27)::INT) * 100.0::DOUBLE / count(*), 1)"
 
 
-@query("g9_colour_rollup", f"SELECT colour, count(*) AS problems, round_even(median(dnbr_median), 4) AS dnbr_median, {_PCT} AS pct_burned, max(dnbr_median) AS dnbr_max, sum(coalesce(edge::INT, 0))::BIGINT AS n_edge FROM sampled WHERE dnbr_median IS NOT NULL AND colour IS NOT NULL GROUP BY colour", "sampled")
+@query("g9_colour_rollup", f"SELECT colour, count(*) AS problems, round_even(median(dnbr_median), 6) AS dnbr_median, {_PCT} AS pct_burned, max(dnbr_median) AS dnbr_max, sum(coalesce(edge::INT, 0))::BIGINT AS n_edge FROM sampled WHERE dnbr_median IS NOT NULL AND colour IS NOT NULL GROUP BY colour", "sampled")
 def g9(spark, sf_dir):
     return sampling.colours(sampled(spark, sf_dir))
 
 
-CIRCUITS_SQL = f"""SELECT area_name, colour, count(*) AS problems, round_even(median(dnbr_median), 4) AS dnbr_median, {_PCT} AS pct_burned,
-    round_even(quantile_cont(dnbr_median, 0.9), 4) AS dnbr_p90, sum(coalesce(edge::INT, 0))::BIGINT AS n_unresolved
+CIRCUITS_SQL = f"""SELECT area_name, colour, count(*) AS problems, round_even(median(dnbr_median), 6) AS dnbr_median, {_PCT} AS pct_burned,
+    round_even(quantile_cont(dnbr_median, 0.9), 6) AS dnbr_p90, sum(coalesce(edge::INT, 0))::BIGINT AS n_unresolved
     FROM sampled WHERE dnbr_median IS NOT NULL AND area_name IS NOT NULL AND colour IS NOT NULL GROUP BY area_name, colour HAVING count(*) >= 5"""
 
 
@@ -105,7 +105,7 @@ def g10(spark, sf_dir):
     return sampling.circuits(sampled(spark, sf_dir))
 
 
-@query("g11_area_rollup", f"SELECT area_name, count(*) AS problems, round_even(median(dnbr_median), 4) AS dnbr_median, {_PCT} AS pct_burned FROM sampled WHERE dnbr_median IS NOT NULL AND area_name IS NOT NULL GROUP BY area_name HAVING count(*) >= 10", "sampled")
+@query("g11_area_rollup", f"SELECT area_name, count(*) AS problems, round_even(median(dnbr_median), 6) AS dnbr_median, {_PCT} AS pct_burned FROM sampled WHERE dnbr_median IS NOT NULL AND area_name IS NOT NULL GROUP BY area_name HAVING count(*) >= 10", "sampled")
 def g11(spark, sf_dir):
     return sampling.areas(sampled(spark, sf_dir))
 
