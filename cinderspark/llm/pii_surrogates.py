@@ -117,26 +117,29 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _name_spans(text: str) -> Iterator[tuple[int, int, str, str]]:
-    end, gender, rest = -1, None, 0
+    """Given names, and up to two capitalised words after a given name or an honorific.
+
+    A full stop stands only between an honorific or an initial and what follows.
+    """
+    end, gender, rest, short = -1, "", 0, False
     for m in _CAPITALISED.finditer(text):
-        word, between = m[0], text[end : m.start()] if end >= 0 else ""
-        follows = gender is not None and between in (" ", ". ") and rest > 0
+        word = m[0]
+        between = text[end : m.start()] if rest else ""
+        follows = bool(rest) and (between == " " or (short and between == ". "))
         titled = word.capitalize() if word.isupper() else word
         if word in HONORIFICS:
-            gender, rest, end = HONORIFICS[word], 2, m.end()
-            continue
-        if titled in _GENDERS and (not follows or between != ". " or rest == 2):
-            own = _GENDERS[titled][1]
-            yield m.start(), m.end(), "given", own
-            gender, rest, end = own, 2, m.end()
-            continue
-        if follows and len(word) > 1:
-            yield m.start(), m.end(), "surname", gender or ""
-            rest, end = rest - 1, m.end()
-            if rest == 0:
-                gender = None
-            continue
-        gender = None
+            gender, rest, short = HONORIFICS[word], 2, True
+        elif titled in _GENDERS:
+            gender, rest, short = _GENDERS[titled][1], 2, False
+            yield m.start(), m.end(), "given", gender
+        elif follows:
+            short = len(word) == 1
+            if not short:
+                rest -= 1
+                yield m.start(), m.end(), "surname", gender
+        else:
+            rest = 0
+        end = m.end()
 
 
 # --- keyed permutation -----------------------------------------------------
