@@ -18,12 +18,12 @@ from .registry import query
     """WITH t AS (SELECT id, row_f - 0.5 AS r, col_f - 0.5 AS c FROM problems),
     k AS (SELECT id, floor(r)::BIGINT + a AS y, floor(c)::BIGINT + b AS x, r, c FROM t, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
     w AS (SELECT id, y, x, (1 - abs(r - y)) * (1 - abs(c - x)) AS w FROM k)
-    SELECT id, round_even(sum(w * nir_pre) / sum(w), 6) AS nir FROM w JOIN px USING (y, x) WHERE w > 0 AND nir_pre IS NOT NULL GROUP BY id""",
+    SELECT id, round_even(sum(w * nir_pre) / sum(w), 9) AS nir FROM w JOIN px USING (y, x) WHERE w > 0 AND nir_pre IS NOT NULL GROUP BY id""",
     "problems", "px",
 )
 def s3(spark, sf_dir):
     grid = pixels(spark, sf_dir).select("y", "x", F.col("nir_pre").alias("nir"))
-    return resample.bilinear(problems(spark, sf_dir), grid, "nir", ["id"]).select("id", F.bround("nir", 6).alias("nir"))
+    return resample.bilinear(problems(spark, sf_dir), grid, "nir", ["id"]).select("id", F.bround("nir", 9).alias("nir"))
 
 
 @query("s4_nearest_read", "SELECT id, scl_pre AS scl FROM problems JOIN px ON y = floor(row_f) AND x = floor(col_f)", "problems", "px")
@@ -67,7 +67,7 @@ def f11(spark, sf_dir):
     return catalogue(spark, sf_dir).select("id", F.substring(F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss"), 1, 10).alias("day"))
 
 
-@query("f24_array_argmax", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best, len(list_filter(embedding, lambda v: v > 0)) AS positive FROM embeddings")
+@query("f24_array_argmax", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best, len(list_filter(embedding, lambda v: v > 0)) AS positive FROM embeddings")
 def f24(spark, sf_dir):
     from ..sources.tables import read
 
