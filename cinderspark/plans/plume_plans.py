@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, raster as R
 from ..functions.weather import vector_mean
+from ..operators.ranking import global_rank
 from ..sources.derived import catalogue, orbits, pixels, problems, side, swaths
 from ..sources.tables import read
 from .registry import query
@@ -31,9 +32,9 @@ def s1(spark, sf_dir):
     return found(spark, sf_dir).orderBy("datetime", "id").select("id", "datetime", "cloud")
 
 
-@query("t1_by_time", f"SELECT row_number() OVER (ORDER BY datetime, id)::INT AS place, id FROM ({_SEARCH_SQL})", "catalogue")
+@query("t1_by_time", f"SELECT row_number() OVER (ORDER BY datetime, id) AS place, id FROM ({_SEARCH_SQL})", "catalogue")
 def t1(spark, sf_dir):
-    return found(spark, sf_dir).select(F.row_number().over(Window.orderBy("datetime", "id")).alias("place"), "id")
+    return global_rank(found(spark, sf_dir), ["datetime", "id"]).select("place", "id")
 
 
 @query("r2_boa_offset", "SELECT id, CASE WHEN applied IS TRUE THEN 0 WHEN try_cast(coalesce(baseline, '00.00') AS DOUBLE) >= 4 THEN -1000 ELSE 0 END AS boa_offset FROM catalogue", "catalogue")
