@@ -18,8 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's."""
+    return f"{shared_dir(spark)}/cinderspark-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has staged: only when no result that reads it is needed any more."""
+    delete_path(spark, scratch_root(spark))
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
