@@ -1,15 +1,15 @@
-"""Shared plumbing: table access, the shared scratch folder and skew helpers."""
+"""Shared plumbing: table access and skew helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import clear_scratch, delete_path, scratch_path, shared_dir, staged
 from ..shipping import ship
 
+__all__ = ["clear_scratch", "delete_path", "hot_keys", "salted_join", "scratch_path", "shared_dir", "staged", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; any path that Spark's readers can open works."""
@@ -17,37 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests in a single process) a temporary folder
-    is set once per session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="cinderspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a
-    lost executor costs a re-read rather than a recomputation."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 #: Fan-out of a hot key in a salted join.
 SALTS = 32
 #: A key is hot above this share of all rows, so there are at most as many hot keys as this says.
@@ -58,10 +27,10 @@ def hot_keys(keyed: DataFrame, key: str) -> DataFrame:
     """Keys holding over 1/HOT_KEYS of the rows: at most HOT_KEYS rows, so safe to broadcast.
 
     Two rows of a key are never hot; counting is pre-aggregated map-side.
+    ``keyed`` is a staged table, whose row count stands in its files' footers.
     """
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = keyed.agg(F.greatest(F.count(F.lit(1)) / HOT_KEYS, F.lit(2.0)).alias("_cut"))
-    return counts.crossJoin(F.broadcast(total)).where("_n > _cut").select(key)
+    cut = max(2.0, keyed.count() / HOT_KEYS)
+    return keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cut).select(key)
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .arrow_maps import map_texts
-from .components import connected_components
 from .runtime import hot_keys, salted_join, staged
 from .vptree import Routing, fit_routing, link
 

@@ -36,13 +36,8 @@ TABLE_CHARS = 32
 
 def frequent_pretokens(docs: DataFrame, vocab_path: str, id_col: str, text_col: str) -> dict[str, int]:
     """The broadcast tier: at most TABLE_ENTRIES pre-tokens with their token counts."""
-    share = docs.agg(F.greatest(F.ceil(F.count(F.lit(1)) / SAMPLE_DOCS), F.lit(1)).alias("n"))
-    sample = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-        .crossJoin(F.broadcast(share))
-        .where(F.pmod(F.xxhash64("doc_id"), F.col("n")) == 0)
-        .select("_text")
-    )
+    every = max(1, -(-docs.count() // SAMPLE_DOCS))
+    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(text_col).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(vocab_path), Counter()
