@@ -66,3 +66,8 @@ def permutation_importance(
             out.append((f, base - _r2(model.transform(shuffled), target)))
     loss = spark.createDataFrame(out, "feature string, loss double")
     return loss.groupBy("feature").agg(F.bround(F.avg("loss"), 4).alias("importance"), F.bround(F.stddev_pop("loss"), 4).alias("std"))
+
+
+def fit_trees(rows: DataFrame, features: list[str], target: str, trees: int = 300) -> DataFrame:
+    """``rows`` with ``prediction``: boosted trees fitted on all of them."""
+    return _pipeline(features, target, trees).fit(rows).transform(rows).drop("_features")

@@ -186,6 +186,12 @@ def m2f(spark, sf_dir):
 _FEATURES = ["nir_pre", "swir_pre", "red_pre", "fuel"]
 
 
+@query("m1_boosted_trees")
+def m1(spark, sf_dir):
+    """Burn severity predicted from the bands before the fire and the fuel."""
+    return V.fit_trees(driver_sample(spark, sf_dir), _FEATURES, "dnbr", trees=5).select("y", "x", "dnbr", "prediction")
+
+
 @query("m2_cross_validation")
 def m2(spark, sf_dir):
     """R2 under random folds and under spatial blocks; fewer trees than in production, which takes 300."""

@@ -100,3 +100,37 @@ def j19(spark, sf_dir):
     """Metres from every pixel to the nearest burned one."""
     burned = delta(spark, sf_dir).select("y", "x", R.at_least(F.col("dnbr")).alias("m"))
     return M.distance(burned, 10.0)
+
+
+@query("s19_field_frame", "SELECT id, greatest(1, round_even(400 * (0.3::DOUBLE + (id % 7) / 10::DOUBLE) / (0.5::DOUBLE + (id % 3) / 10::DOUBLE), 0)::INT) AS height FROM problems", "problems")
+def s19(spark, sf_dir):
+    """Rows of a geographic field of 400 columns, from the box's shape."""
+    tall, wide = 0.3 + (F.col("id") % 7) / F.lit(10.0), 0.5 + (F.col("id") % 3) / F.lit(10.0)
+    return problems(spark, sf_dir).select("id", F.greatest(F.lit(1), F.bround(400 * tall / wide).cast("int")).alias("height"))
+
+
+@query("s21_tile_counts", "SELECT 'N' || lpad(floor(lat)::INT::VARCHAR, 2, '0') || '_E' || lpad(floor(lon)::INT::VARCHAR, 3, '0') AS tile, count(*) AS n FROM problems GROUP BY 1", "problems")
+def s21(spark, sf_dir):
+    """Elevation tiles that the features need, by the whole degrees below them."""
+    tile = F.format_string("N%02d_E%03d", F.floor("lat").cast("int"), F.floor("lon").cast("int"))
+    return problems(spark, sf_dir).groupBy(tile.alias("tile")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "k14_page_rows",
+    """SELECT row_number() OVER (ORDER BY coalesce(n, 0) DESC, n_name)::INT AS place, replace(n_name, '&', '&amp;') AS name, coalesce(n, 0) AS n
+    FROM nation LEFT JOIN (SELECT area_id, count(*) AS n FROM problems GROUP BY area_id) ON area_id = n_nationkey ORDER BY 1 LIMIT 16""",
+    "problems",
+)
+def k14(spark, sf_dir):
+    """The sixteen rows of a page's table, escaped."""
+    from pyspark.sql import Window
+
+    from ..functions.text import html_escape
+    from ..sources.tables import read
+
+    counts = problems(spark, sf_dir).groupBy("area_id").agg(F.count(F.lit(1)).alias("n"))
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("area_id"), F.col("n_name").alias("name"))
+    rows = n.join(counts, "area_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "name"))
+    return rows.select(place.alias("place"), html_escape(F.col("name")).alias("name"), "n").where("place <= 16")
