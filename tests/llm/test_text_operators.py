@@ -173,3 +173,22 @@ def test_surrogate_exceptions_by_join(spark, monkeypatch):
     want = {r.doc_id: r.text for r in pii_surrogates.replace_entities(docs, KEY).collect()}
     monkeypatch.setattr(pii_surrogates, "MOST_BROADCAST", 0)
     assert {r.doc_id: r.text for r in pii_surrogates.replace_entities(docs, KEY).collect()} == want
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("at 24.243.215.198. Next", ["ip"]),
+        ("v1.2.3.4.5 and 1.2.3", []),
+        ("call 980-555-6268. Or (980) 555-6268, or +1 (980) 555-6268!", ["phone"] * 3),
+        ("pay:4111111111111111,4111 1111 1111 1111. 0.4111111111111111", ["card"] * 2),
+        ("id 123-45-6789. x 1123-45-6789", ["national"]),
+        ("a@b @c.de x@y.z .dot@host.org. (p.q+r@sub.host.co.uk)", ["email"] * 2),
+        ("IBAN GB29 NWBK 6016 1331 9268 19.", ["iban"]),
+        ("anna and Mister X, Dr. No left. Laura", ["surname", "given"]),
+        ("", []),
+        ("1" * 10_000 + "@" * 2000, []),
+    ],
+)
+def test_entities(text, kinds):
+    assert [k for _, _, k, _ in pii_surrogates.find_entities(text)] == kinds
