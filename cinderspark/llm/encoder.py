@@ -25,6 +25,8 @@ GENERATION = 300_000
 KEPT_CHARS = 64
 #: White space besides the space and the line feed.
 OTHER_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that end a word: the word and the mark are pre-tokens of their own.
+STOPS = frozenset(".,;:!?")
 #: The patterns by which the two public vocabularies cut pre-tokens.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -80,6 +82,8 @@ class Encoder:
             text = text.lower()
             if text.isalpha():
                 return [text]
+            if text[-1:] in STOPS and text[:-1].isalpha():
+                return [text[:-1], text[-1]]
         return self.pattern.findall(text)
 
     def cut_piece(self, piece: str) -> list[str]:
@@ -88,6 +92,8 @@ class Encoder:
             return self.cut(piece)
         if piece.isalpha():
             return [" " + piece]
+        if piece[-1:] in STOPS and piece[:-1].isalpha():
+            return [" " + piece[:-1], piece[-1]]
         return self.pattern.findall(" " + piece)
 
     def _plain(self, text: str) -> list[str] | None:
@@ -168,9 +174,19 @@ class Encoder:
         for p, v in zip(unknown, ids[len(alone) :]):
             (pre if len(p) <= KEPT_CHARS else long_pre)[p] = v
         singles = iter(ids)
+        if long_pre:
+            pre = {**{x: pre[x] for x in parts if x in pre}, **long_pre}
         for p, c, s in zip(new, cuts, single):
-            v = next(singles) if s is not None else b"".join([pre[x] if x in pre else long_pre[x] for x in c])
-            (young if len(p) <= KEPT_CHARS else long_pieces)[p] = v
+            if s is not None:
+                v = next(singles)
+            elif len(c) == 2:
+                v = pre[c[0]] + pre[c[1]]
+            else:
+                v = b"".join([pre[x] for x in c])
+            if len(p) <= KEPT_CHARS:
+                young[p] = v
+            else:
+                long_pieces[p] = v
         return long_pre, long_pieces
 
 
