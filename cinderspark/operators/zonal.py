@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.raster import BURNED, SCL_NAMES, SEVERITY_LABELS, at_least, hectares, percent_where, percentile
+from .quantiles import exact_quantiles
 
 
 def class_areas(classed: DataFrame, res: float = 10.0) -> DataFrame:
@@ -35,16 +36,18 @@ def probe(cells: DataFrame, scl: str, by: str) -> DataFrame:
 
 
 def zones(cells: DataFrame, zone: str, least_ha: float = 5.0, res: float = 10.0) -> DataFrame:
-    """Severity by class of land: area from all pixels, the rest from those with a value."""
-    d = F.col("dnbr")
-    out = cells.where(F.col(zone) >= 0).groupBy(zone).agg(
+    """Severity by class of land: area from all pixels, the rest from those with a value.
+
+    Classes are few and large, so their percentiles come from ``exact_quantiles``.
+    """
+    inside = cells.where(F.col(zone) >= 0).select(zone, "dnbr", "rdnbr")
+    out = inside.groupBy(zone).agg(
         hectares(F.count(F.lit(1)), res).alias("ha"),
-        F.bround(F.sum((d >= BURNED).cast("long")) * 100.0 / F.nullif(F.count("dnbr"), F.lit(0)), 1).alias("pct_burned"),
-        F.bround(percentile(d, 0.5), 3).alias("dnbr_median"),
-        F.bround(percentile(d, 0.9), 3).alias("dnbr_p90"),
-        F.bround(percentile(F.col("rdnbr"), 0.5), 3).alias("rdnbr_median"),
+        F.bround(F.sum((F.col("dnbr") >= BURNED).cast("long")) * 100.0 / F.nullif(F.count("dnbr"), F.lit(0)), 1).alias("pct_burned"),
     )
-    return out.where(F.col("ha") >= least_ha).withColumn("ha", F.bround("ha", 1))
+    d = exact_quantiles(inside, [zone], "dnbr", [0.5, 0.9]).select(zone, *[F.bround(F.get("quantiles", F.lit(k)), 3).alias(n) for k, n in enumerate(("dnbr_median", "dnbr_p90"))])
+    r = exact_quantiles(inside, [zone], "rdnbr", [0.5]).select(zone, F.bround(F.get("quantiles", F.lit(0)), 3).alias("rdnbr_median"))
+    return out.where(F.col("ha") >= least_ha).join(d, zone).join(r, zone).withColumn("ha", F.bround("ha", 1))
 
 
 def threshold_table(cells: DataFrame, forest: Column, farmland: Column, thresholds: tuple[float, ...] = (0.10, BURNED), res: float = 10.0) -> DataFrame:

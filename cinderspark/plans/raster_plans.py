@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster as R
 from ..operators import zonal
+from ..operators.quantiles import exact_quantiles
 from ..sources.derived import pixels
 from .registry import query
 
@@ -133,11 +134,10 @@ def g5(spark, sf_dir):
     "delta",
 )
 def g6(spark, sf_dir):
-    q = lambda c, p: F.bround(R.percentile(F.col(c), p), 4)
-    return delta(spark, sf_dir).agg(
-        q("dnbr", 0.5).alias("d50"), q("dnbr", 0.99).alias("d99"), F.bround(F.max("dnbr"), 4).alias("dmax"),
-        q("rdnbr", 0.5).alias("r50"), q("rdnbr", 0.99).alias("r99"), F.bround(F.max("rdnbr"), 4).alias("rmax"),
-    )
+    d = delta(spark, sf_dir).select("dnbr", "rdnbr")
+    four = lambda c: F.bround(c, 4)
+    q = lambda c: exact_quantiles(d, [], c, [0.5, 0.99, 1.0]).select(*[four(F.get("quantiles", F.lit(k))).alias(f"{c[0]}{n}") for k, n in enumerate(("50", "99", "max"))])
+    return q("dnbr").crossJoin(q("rdnbr"))
 
 
 @query(
@@ -258,9 +258,9 @@ def k8(spark, sf_dir):
 def k11(spark, sf_dir):
     px = pixels(spark, sf_dir)
     pooled = px.select(F.explode(F.array("red_pre", "green_pre", "blue_pre")).alias("v"))
-    q = pooled.agg(F.percentile("v", F.lit(0.02)).alias("lo"), F.percentile("v", F.lit(0.98)).alias("hi"))
-    level = (F.col("red_pre") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))
-    return px.where("red_pre IS NOT NULL").crossJoin(F.broadcast(q)).select("y", "x", F.bround(F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0)), 5).alias("r"))
+    low, high = exact_quantiles(pooled, [], "v", [0.02, 0.98]).first().quantiles
+    level = (F.col("red_pre") - low) / max(high - low, 1e-6)
+    return px.where("red_pre IS NOT NULL").select("y", "x", F.bround(F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0)), 5).alias("r"))
 
 
 @query(

@@ -251,3 +251,19 @@ def test_readers_and_sinks(spark, tmp_path):
     assert '"coordinates":[2.5,48.1]' in spark.read.text(str(tmp_path / "g")).first().value
     row = sinks.payload(table, ["id", "name"], limit_bytes=10).first()
     assert row.over and row.document.startswith('{"columns":["id","name"]')
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from cinderspark.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "MOST_VALUES", 300)
+    rng = np.random.default_rng(0)
+    frame = pd.DataFrame({"k": rng.integers(0, 2, 4000), "v": np.round(rng.normal(size=4000), 3)})
+    frame.loc[frame.k == 1, "v"] = rng.choice([1.0, 2.0, 2.0, 2.0], (frame.k == 1).sum())  # a value with most rows
+    qs = [0.0, 0.02, 0.5, 0.9, 1.0]
+    rows = spark.createDataFrame(frame).unionByName(spark.createDataFrame([(0, None), (7, None)], "k long, v double"))
+    for small in (10**6, 10):
+        got = {r.k: r.quantiles for r in Q.exact_quantiles(rows, ["k"], "v", qs, small).collect()}
+        for k in (0, 1):
+            assert got[k] == pytest.approx(np.percentile(frame.v[frame.k == k], [100 * q for q in qs]).tolist())
+        assert got[7] == [None] * 5
