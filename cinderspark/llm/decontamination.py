@@ -36,7 +36,7 @@ from .runtime import staged
 
 #: Words of a window, and the covered share of an item's words that counts.
 WINDOW = 5
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Benchmark text held by a worker at once; a larger benchmark is worked through in blocks.
 BLOCK_BYTES = 8_000_000
 #: Words whose codes a worker keeps.
