@@ -118,8 +118,13 @@ class TemplateIndex:
         self.near[(self.sorted >> np.uint64(44)).astype(np.int64)] = True
         # a document word's forms, as codes: 0 for a word that no item has, -1 for no word at all
         self.words: dict[str, int] = {}
-        self.forms: list[tuple[int, int, int, bool, bool]] = []
+        self.forms = np.zeros((1024, 5), np.int64)
         self.rows: dict[tuple, int] = {}
+        self.foreign: dict[tuple[bool, bool], int] = {}
+        for named in (False, True):
+            for ends in (False, True):
+                form = (0, self.code[NAME] if named else 0, -2, False, ends)
+                self.foreign[named, ends] = self._form(form)
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         n = len(codes) - self.window + 1
@@ -134,16 +139,29 @@ class TemplateIndex:
         first, elsewhere, unit, ends = word_forms(word)
         get = lambda t: self.code.get(t, 0) if t else -1
         form = (get(first), get(elsewhere), self.code[UNIT] if unit else -2, first == NUM, ends)
-        row = self.rows.setdefault(form, len(self.forms))
+        return self._form(form)
+
+    def _form(self, form: tuple) -> int:
+        """The row of a form; new ones are added in place, in a table that doubles when it is full."""
+        row = self.rows.setdefault(form, len(self.rows))
         if row == len(self.forms):
-            self.forms.append(form)
+            self.forms = np.concatenate([self.forms, np.zeros_like(self.forms)])
+        self.forms[row] = form
         return row
 
-    def _table(self) -> np.ndarray:
-        if getattr(self, "_made", 0) != len(self.forms):
-            self._forms = np.array(self.forms, np.int64).reshape(-1, 5)
-            self._made = len(self.forms)
-        return self._forms
+    def _seek(self, word: str) -> int:
+        """The row of a word that isn't kept yet: a plain word that no item has is told at once."""
+        core, ends = word, False
+        if not core.isalpha():
+            ends = core[-1] == "."
+            if ends or core[-1] == ",":
+                core = core[:-1]
+            if not core.isalpha():
+                return self._row(word)
+        low = core.lower()
+        if low in self.code or low in NUMBER_WORDS or low in UNITS:
+            return self._row(word)
+        return self.foreign[core[0].isupper(), ends]
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of a text's template words, and the places of their words."""
@@ -151,13 +169,11 @@ class TemplateIndex:
             self.words = {}
         rows = list(map(self.words.get, words))
         if None in rows:
-            for k, r in enumerate(rows):
-                if r is None:
-                    w = words[k]
-                    rows[k] = r = self._row(w)
-                    if len(w) <= 64:
-                        self.words[w] = r
-        f = self._table()[np.array(rows, np.int64)]
+            seek, kept = self._seek, self.words
+            for k in [k for k, r in enumerate(rows) if r is None]:
+                w = words[k]
+                rows[k] = kept[w] = seek(w)
+        f = self.forms[np.array(rows, np.int64)]
         start = np.empty(len(rows), bool)
         start[0], start[1:] = True, f[:-1, 4] == 1
         codes = np.where(start, f[:, 0], f[:, 1])
