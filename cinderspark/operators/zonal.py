@@ -38,7 +38,7 @@ def probe(cells: DataFrame, scl: str, by: str) -> DataFrame:
 def zones(cells: DataFrame, zone: str, least_ha: float = 5.0, res: float = 10.0) -> DataFrame:
     """Severity by class of land: area from all pixels, the rest from those with a value.
 
-    Classes are few and large, so their percentiles come from ``exact_quantiles``.
+    Classes are few and large, so their percentiles go through ``exact_quantiles``.
     """
     inside = cells.where(F.col(zone) >= 0).select(zone, "dnbr", "rdnbr")
     out = inside.groupBy(zone).agg(
