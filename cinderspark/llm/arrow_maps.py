@@ -34,3 +34,14 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     return df.mapInArrow(run, schema)
+
+
+def keep_texts(df: DataFrame, text: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows whose text ``keep`` says yes to, with all their columns: the decision goes with the row, not with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(keep([t or "" for t in part.column(text).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

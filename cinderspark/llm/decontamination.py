@@ -31,8 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import map_texts
-from .runtime import staged
+from .arrow_maps import keep_texts, map_texts
 
 #: Words of a window, and the covered share of an item's words that counts.
 WINDOW = 5
@@ -342,8 +341,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col(id_col).alias("__rejected"))
-    bad = staged(bad, "op9-contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__rejected")), "left_anti")
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    coverage: float = COVERAGE,
+    window: int = WINDOW,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows that no item contaminates, with all their columns; ids play no part and may be null or given twice."""
+    for block in _benchmark_blocks(benchmark, item_col, item_text):
+        docs = _without(docs, docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, coverage, window, text_col)
+    return docs
+
+
+def _without(docs: DataFrame, items: Broadcast, name: str, coverage: float, window: int, text_col: str) -> DataFrame:
+    def keep(texts: list[str]) -> list[bool]:
+        index = index_of(name, items, window)
+        return [all(m[1] < coverage for m in index.matches(t)) for t in texts]
+
+    return keep_texts(docs, text_col, keep)

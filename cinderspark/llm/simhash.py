@@ -62,14 +62,16 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    key = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    """(doc_id, fp, digest): fp is the fingerprint's 64 bits as a signed long, digest tells texts of one id apart."""
+    key = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("digest")
+    )
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
         fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-        return {"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64())}
+        return {"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64()), "digest": batch.column("digest")}
 
-    return map_texts(key, "_text", "doc_id long, fp long", work)
+    return map_texts(key, "_text", "doc_id long, fp long, digest long", work)
 
 
 def _routing(points: DataFrame) -> Routing:
@@ -115,10 +117,8 @@ def links(points: DataFrame, bits: int) -> DataFrame:
     return dealt.groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
-def near_groups(
-    docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` (least id reachable)."""
+def _components(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, digest, root, component_id), one row per document; root is a fingerprint that names the component."""
     prints = staged(fingerprints(docs, words, id_col, text_col), "op8-prints")
     points = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op8-points")
     roots = connected_components(links(points, bits), "a", "b", "op8-edges")
@@ -127,21 +127,30 @@ def near_groups(
     )
     rooted = staged(rooted, "op8-rooted")
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(component, "root").select("fp", "component_id")
-    out = salted_join(prints, labels, "fp", staged(hot_keys(prints, "fp"), "op8-hot"))
-    return out.select(
+    labels = rooted.join(component, "root").select("fp", "root", "component_id")
+    return salted_join(prints, labels, "fp", staged(hot_keys(prints, "fp"), "op8-hot"))
+
+
+def near_groups(
+    docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` (least id reachable)."""
+    return _components(docs, words, bits, id_col, text_col).select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def deduplicate(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the least id, with all its columns; of rows that repeat an id, one.
+    """One document of each component, that of the least id, with all its columns.
 
+    Rows are matched by id and text: an id given twice stays once in each component whose least id it is.
     Rows without an id can't be told apart and all stay.
     """
-    keep = near_groups(docs, words, bits, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    keep = staged(keep.select(F.col(id_col).alias("__op8_keep")).distinct(), "op8-keepers")
-    kept = docs.join(keep, F.col(id_col) == F.col("__op8_keep"), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
+    keep = _components(docs, words, bits, id_col, text_col).where("doc_id = component_id")
+    keep = keep.select(F.col("doc_id").alias("__op8_keep"), F.col("digest").alias("__op8_digest"), F.col("root").alias("__op8_root"))
+    keep = staged(keep.distinct(), "op8-keepers")
+    same = (F.col(id_col) == F.col("__op8_keep")) & (F.xxhash64(text_col) == F.col("__op8_digest"))
+    kept = docs.join(keep, same)
+    one = Window.partitionBy(id_col, "__op8_root").orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
     kept = kept.withColumn("__op8_row", F.row_number().over(one)).where("__op8_row = 1").select(docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

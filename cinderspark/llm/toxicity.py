@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import map_texts
+from .arrow_maps import keep_texts, map_texts
 from .runtime import staged
 
 #: Labelled rows the model is fitted on, at most.
@@ -283,7 +283,12 @@ def score_documents(
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
-    bad = score_documents(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__rejected"))
-    bad = staged(bad, "op3-rejected")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__rejected")), "left_anti")
+    """The rows that aren't predicted toxic, with all their columns; ids may be null or given twice."""
+    spread = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    name = uuid.uuid4().hex
+
+    def keep(texts: list[str]) -> list[bool]:
+        index = index_of(name, spread)
+        return (index.model.calibrated(np.array([index.score(t)[0] for t in texts])) < 0.5).tolist()
+
+    return keep_texts(docs, text_col, keep)

@@ -282,6 +282,29 @@ def test_block_max_equals_full_scan(spark):
     assert tried > 50
 
 
+# --- decisions go with the row ------------------------------------------------
+def test_rejection_goes_by_row(spark):
+    rows, labels = labelled()
+    bad, leak = "a grumbit sludgebag nastyfoo", "pad " * 9 + ITEMS[1][1]
+    fine = ["clean first words", "clean second words", "clean third words", "clean fourth words"]
+    more = [(None, bad, "x"), (None, fine[0], "x"), (9100, bad, "x"), (9100, fine[1], "x")]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+    kept = {r.text for r in toxicity.reject_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert bad not in kept and kept >= set(fine[:2])
+    more = [(None, leak), (None, fine[2]), (5, leak), (5, fine[3])]
+    kept = decontamination.decontaminate(spark.createDataFrame(more, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, fine[2]), (5, fine[3])]
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (5, c), (5, c), (7, c)], "doc_id long, text string")
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (3, b), (5, c)])
+
+
 # --- pipeline ----------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
