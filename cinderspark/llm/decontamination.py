@@ -13,9 +13,11 @@ the item's words, so a question with other numbers or names is caught and a
 chance phrase isn't.
 
 A name is a capitalised word that doesn't start a sentence; a unit is a word of
-UNITS right after a number.  An item or document shorter than a window is one
-window.  Items without words match nothing; null texts are empty.  Repeated
-rows are repeated in the result; an item given twice is matched once as each.
+UNITS right after a number.  An item shorter than a window is one window of its
+own length, which is slid over every document; an item of a placeholder alone
+is thus met by every document with such a word.  Items without words match
+nothing; null texts are empty.  Repeated rows are repeated in the result; an
+item given twice is matched once as each.
 """
 
 from __future__ import annotations
@@ -105,13 +107,17 @@ class TemplateIndex:
         rng = np.random.default_rng(20)
         self.random = rng.integers(0, 2**64, (window, len(vocabulary) + 1), np.uint64)
         self.of_window: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        # items shorter than a window, by length and codes
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         for n, (_, ts, _) in enumerate(self.items):
-            if 0 < len(ts) < window:
-                self.short[tuple(ts)].append(n)
             codes = np.array([self.code[t] for t in ts], np.int64)
-            for at, h in enumerate(self.hashes(codes).tolist()):
+            if 0 < len(ts) < window:
+                self.short[len(ts)][tuple(codes.tolist())].append(n)
+            for at, h in enumerate(self.hashes(codes, window).tolist()):
                 self.of_window[h].append((n, at))
+        self.short_hashes = {
+            size: np.concatenate([self.hashes(np.array(key, np.int64), size) for key in items]) for size, items in self.short.items()
+        }
         self.sorted = np.array(sorted(self.of_window), np.uint64)
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.sorted >> np.uint64(44)).astype(np.int64)] = True
@@ -125,12 +131,12 @@ class TemplateIndex:
                 form = (0, self.code[NAME] if named else 0, -2, False, ends)
                 self.foreign[named, ends] = self._form(form)
 
-    def hashes(self, codes: np.ndarray) -> np.ndarray:
-        n = len(codes) - self.window + 1
+    def hashes(self, codes: np.ndarray, size: int) -> np.ndarray:
+        n = len(codes) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         h = self.random[0][codes[:n]]
-        for k in range(1, self.window):
+        for k in range(1, size):
             h = h ^ self.random[k][codes[k : k + n]]
         return h
 
@@ -189,9 +195,28 @@ class TemplateIndex:
         if not words:
             return []
         codes, places = self.codes(words)
+        return self._short_matches(codes, words, places) + self._long_matches(codes, words, places)
+
+    def _short_matches(self, codes: np.ndarray, words: list[str], places: np.ndarray) -> list[tuple]:
+        """Matches of the items shorter than a window, by windows of each of their lengths."""
+        out = []
+        for size, items in self.short.items():
+            at = np.flatnonzero(np.isin(self.hashes(codes, size), self.short_hashes[size]))
+            met: dict[tuple[int, ...], list[int]] = defaultdict(list)
+            for p in at.tolist():
+                key = tuple(codes[p : p + size].tolist())
+                if key in items:
+                    met[key].append(p)
+            for key, found in met.items():
+                for i in items[key]:
+                    scored = (self._scored(i, [(p, [0])], words, places, whole=True) for p in found)
+                    # the first place whose slots agree, with equal values if there is one
+                    out.append(min(scored, key=lambda m: (-m[1], m[2])))
+        return out
+
+    def _long_matches(self, codes: np.ndarray, words: list[str], places: np.ndarray) -> list[tuple]:
         if len(codes) < self.window:
-            found = self.short.get(tuple(template(text)[0]), [])
-            return [self._scored(n, [(0, range(len(self.items[n][1])))], words, places, whole=True) for n in found]
+            return []
         whole = codes > 0
         ok = whole[: len(codes) - self.window + 1].copy()
         for k in range(1, self.window):
@@ -240,6 +265,8 @@ class TemplateIndex:
                 slots = [(own[k], words[places[k + shift]].strip(_OUTER).lower()) for k in span if ts[k] in (NUM, NAME)]
                 if any(there.get(a, b) != b or back.get(b, a) != a for a, b in slots):
                     continue
+                if whole and not len({a for a, _ in slots}) == len({b for _, b in slots}) == len(set(slots)):
+                    continue
                 there.update(slots)
                 back.update((b, a) for a, b in slots)
                 differ |= any(a != b for a, b in slots)

@@ -229,6 +229,17 @@ def test_slots_must_agree():
     assert index.matches(swapped)[0][1] < full
 
 
+def test_short_items_inside_documents():
+    index = decontamination.TemplateIndex([(1, "Two words"), (2, "plain"), (3, "from 3 to 3"), (4, ITEMS[1][1])], 5)
+    found = lambda text: {m[0]: m[1:] for m in index.matches(text)}
+    filler = "ting erou and the " * 20
+    assert found(filler + "nine words, two words. " + filler) == {1: (1.0, False, 82, 84)}
+    assert found(filler + "it is plain") == {2: (1.0, False, 82, 83)}
+    assert found("plain")[2][0] == 1 and found(filler + "nine words") == {1: (1.0, True, 80, 82)}
+    assert found("go from 7 to 7 now")[3][0] == 1 and found("go from 7 to 8 now")[3][0] == 0
+    assert found(ITEMS[1][1] + " and plain").keys() == {2, 4} and found(filler) == {}
+
+
 # --- toxicity ----------------------------------------------------------------
 def labelled(n=600):
     rng = random.Random(11)
