@@ -5,7 +5,12 @@ implied (an open paragraph ends before a block, a list item before the next, a
 cell before the next cell or row).  Rendering emits all visible text: what
 visibility rules hide (head, scripts, styles, templates, ``hidden``,
 ``display:none``, ``visibility:hidden``, closed details) is left out, nothing
-else is.  Blocks start on their own lines, paragraphs and headings are set off
+else is.  Scripts run, so ``noscript`` is hidden, and so is what stands inside
+``iframe``, ``canvas``, ``audio`` and ``video``, which browsers show themselves;
+the fallback inside an ``object`` is shown, as its resource isn't at hand.  Of
+``math`` and ``svg`` the text is shown, without annotations, titles and other
+parts that are never drawn; each piece of text in a drawing is set off by a
+space.  Blocks start on their own lines, paragraphs and headings are set off
 by an empty line, list items carry a bullet or their number and are indented by
 depth, preformatted text keeps its white space, and the cells of a table are
 padded to aligned columns, with spans counted.
@@ -27,7 +32,12 @@ from pyspark.sql import functions as F
 from .arrow_maps import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link object iframe canvas svg math audio video datalist".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe canvas audio video datalist".split())
+#: Parts of formulas and drawings that are never drawn.
+UNDRAWN = frozenset("annotation annotation-xml desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+#: Parts of them that stand apart from what is before.
+APART = frozenset("text foreignobject mtr mtd".split())
+_DRAWING = re.compile(r"<(?:svg|math)[\s/>]", re.I)
 RAW = frozenset("script style textarea title xmp".split())
 #: Blocks with an empty line around them, and plain blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure form fieldset article section hr".split())
@@ -78,6 +88,7 @@ def parse(page: str) -> Node:
     root = Node("#root", {})
     stack = [root]
     at, size = 0, len(page)
+    drawings = _DRAWING.search(page) is not None
 
     def text(piece: str) -> None:
         if piece:
@@ -138,7 +149,9 @@ def parse(page: str) -> Node:
             close_until(frozenset(["p"]), frozenset(["td", "th", "table", "li", "button"]))
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag in VOID or raw.endswith("/") and tag in ("svg", "path"):
+        drawn = drawings and (tag in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack))
+        node.hidden = node.hidden or drawn and tag in UNDRAWN
+        if tag in VOID or raw.endswith("/") and (drawn or tag == "path"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -331,7 +344,7 @@ def _render(node: Node | str, out: _Writer, depth: int = 0, pre: bool = False) -
             out.blank()
         elif block:
             out.newline()
-        if tag in ("td", "th") or tag == "option":
+        if tag in ("td", "th") or tag == "option" or tag in APART:
             out.gap = True
         inside = pre or tag in ("pre", "textarea", "xmp")
         outer = out.indent

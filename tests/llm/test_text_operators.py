@@ -107,6 +107,13 @@ def test_html():
     assert not any("hid" in x or "no" == x or "x<y" in x for x in lines)
 
 
+def test_html_formulas_and_drawings():
+    page = """<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></mrow><annotation>tex</annotation></semantics></math> holds
+    <svg><title>no</title><defs/><style>s</style><circle r="1"/><text>left</text><text>right <tspan>arm</tspan></text><desc>no</desc></svg> after
+    <object data=a><b>instead</b></object><noscript>no</noscript> <filter>kept</filter>"""
+    assert html_render.render(page) == "so x=2 holds left right arm after instead kept"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<a", "<!--", "<script>", "</p></td>", "<table><tr>", "<div>" * 2000 + "x", "<li>" * 500, '<a href="', "&#x0;&bogus;"])
 def test_html_malformed(page):
     html_render.render(page)
