@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text handed to a function at once.
 SLICE_BYTES = 4_000_000
+#: Bytes that Spark puts into a batch for a Python worker, about, where the session doesn't say.
+BATCH_BYTES = 8_000_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches have a bound in bytes: long texts would make batches of 10,000 rows large."""
+    conf = df.sparkSession.conf
+    if _BATCH_SETTING not in conf.getAll:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
@@ -33,7 +44,7 @@ def map_texts(
                 made = work(part, texts)
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def keep_texts(df: DataFrame, text: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
@@ -44,4 +55,4 @@ def keep_texts(df: DataFrame, text: str, keep: Callable[[list[str]], list[bool]]
             for part in slices(batch, text):
                 yield part.filter(pa.array(keep([t or "" for t in part.column(text).to_pylist()]), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)

@@ -3,8 +3,8 @@
 ``encode_documents`` adds nothing and drops nothing: one row per input row, the
 ids of the whole text and the text decoded from those ids.  A null or empty
 text has no ids and decodes to the empty string; repeated rows give repeated
-rows; columns other than the two named are ignored unless listed in ``keep``.
-The ids are those of the tokenizers library for the same file, special strings
+rows; an empty table gives no rows; columns other than the two named are ignored;
+ids are integers.  The ids are those of the tokenizers library for the same file, special strings
 in the text becoming special ids.
 """
 

@@ -10,14 +10,15 @@ size, and all the new pre-tokens of a batch are merged together.
 from __future__ import annotations
 
 import json
+import os.path
 import re
 import unicodedata
 from collections.abc import Iterable
-from functools import lru_cache
 
 import regex
 
-from .rank_bpe import RankBpe, load
+from .rank_bpe import RankBpe
+from .worker import kept
 
 #: Entries in a generation of a cache; two generations are kept.
 GENERATION = 300_000
@@ -59,16 +60,29 @@ class Generations:
         return new
 
 
+def lowers(spec: dict) -> bool:
+    """Whether a tokenizers file lower-cases and drops white space (else it keeps every byte); an error for any other scheme."""
+    cutter, normal = spec["pre_tokenizer"] or {}, spec["normalizer"]
+    if normal is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space"):
+        return False
+    steps = [n["type"] for n in (normal or {}).get("normalizers", [])]
+    cuts = cutter.get("pretokenizers") or [{}]
+    if steps == ["NFC", "Replace", "Lowercase"] and (cuts[0].get("pattern") or {}).get("Regex") == WORD_PATTERN:
+        return True
+    raise ValueError("a vocabulary file whose normalizer and pre-tokenizer this encoder doesn't follow")
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        self.bpe: RankBpe = load(path)
+        self.bpe = RankBpe(path)
         with open(path, encoding="utf-8") as f:
-            self.lowered = json.load(f)["normalizer"] is not None
+            self.lowered = lowers(json.load(f))
         self.pattern = regex.compile(WORD_PATTERN if self.lowered else BYTE_PATTERN)
-        self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")")
-        self.special_mark = "<|"
+        # a special string is found by what all of them start with; where there is none, nothing matches
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")" if self.bpe.special else "((?!))")
+        self.special_mark = os.path.commonprefix(list(self.bpe.special)) if self.bpe.special else "\0no special strings"
         self.pieces, self.pretokens = Generations(), Generations()
 
     # --- cutting -----------------------------------------------------------
@@ -190,10 +204,9 @@ class Encoder:
         return long_pre, long_pieces
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file: one per process, with its caches."""
-    return Encoder(path)
+    """The worker's encoder of a vocabulary file: one per process, with its caches, until another operator runs."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 #: Characters encoded at once.

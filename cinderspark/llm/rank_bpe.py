@@ -68,6 +68,7 @@ class RankBpe:
         self._rank = np.full(size, NO_RANK, np.int32)
         self.made = np.append(made, np.int32(-1))
         self._probes = 1
+        self.rank_of = dict(zip(keys.tolist(), range(len(keys))))  # for one pair at a time
         for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
             probe = 1
             while self._keys[slot] not in (-1, key):
@@ -189,9 +190,11 @@ class RankBpe:
         heap = [(r, k, part[k], part[k + 1]) for k, r in enumerate(rank.tolist()) if r != NO_RANK]
         heapq.heapify(heap)
 
+        rank_of = self.rank_of.get
+
         def push(k: int) -> None:
-            r = int(self.ranks(np.array([part[k]], np.int32), np.array([part[after[k]]], np.int32))[0])
-            if r != NO_RANK:
+            r = rank_of(part[k] << 32 | part[after[k]])
+            if r is not None:
                 heapq.heappush(heap, (r, k, part[k], part[after[k]]))
 
         while heap:
@@ -239,6 +242,3 @@ class RankBpe:
         return self._bytes[gather].tobytes()
 
 
-@lru_cache(maxsize=4)
-def load(path: str) -> RankBpe:
-    return RankBpe(path)

@@ -7,8 +7,11 @@ pre-token is shuffled but the table's own candidates: each task of the fit
 hands on its CANDIDATES most frequent ones at most.  The table only saves work:
 counts are exact whatever it holds.
 
-Null text counts as empty (0 tokens).  Repeated rows give repeated rows, an
-empty table gives no rows, and other columns are ignored.
+Null text counts as empty (0 tokens).  Repeated rows give repeated rows, rows
+that share an id are counted each, an empty table gives no rows, and other
+columns are ignored.  Pre-tokens that are equally frequent enter the table in
+order of their spelling.  Pieces and pre-tokens over KEPT_CHARS are counted
+where they stand and kept nowhere.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_maps import map_texts, slices
-from .encoder import Generations, encoder
+from .encoder import KEPT_CHARS, Encoder, Generations, encoder
+from .worker import kept
 
 #: Documents the table is fitted on, about.
 SAMPLE_DOCS = 4000
@@ -60,7 +64,7 @@ class LengthCounter:
     """Token counts of texts: the table first, then the worker's cache."""
 
     def __init__(self, vocab_path: str, table: dict[str, int]):
-        self.enc = encoder(vocab_path)
+        self.enc = Encoder(vocab_path)
         self.table = table
         self.pieces, self.misses = Generations(), Generations()
         if self.enc.lowered:  # a lower-case word by itself is its own pre-token
@@ -87,10 +91,13 @@ class LengthCounter:
         new = self.pieces.recall(dict.fromkeys(missed))
         cuts = list(map(self.enc.cut_piece, new))
         length = self._lengths([p for c in cuts for p in c] + loose)
-        known.update((p, sum(map(length.__getitem__, c))) for p, c in zip(new, cuts))
+        long: dict[str, int] = {}
+        for p, c in zip(new, cuts):
+            (known if len(p) <= KEPT_CHARS else long)[p] = sum(map(length.__getitem__, c))
+        of = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
         return [
             sum(1 if type(h) is int else length[h] for h in head)
-            + (0 if pieces is None else pieces if type(pieces) is int else sum(map(known.__getitem__, pieces)))
+            + (0 if pieces is None else pieces if type(pieces) is int else sum(map(of, pieces)))
             for pieces, head in plans
         ]
 
@@ -109,20 +116,14 @@ class LengthCounter:
         if len(new) < len(unknown):
             out.update((p, cache[p]) for p in unknown if p in cache)
         fresh = {p: len(ids) // 4 for p, ids in zip(new, self.enc.bpe.encode_words([p.encode() for p in new]))}
-        cache.update(fresh)
+        cache.update((p, n) for p, n in fresh.items() if len(p) <= KEPT_CHARS)
         out.update(fresh)
         return out
 
 
-_counters: dict[tuple[str, str], LengthCounter] = {}
-
-
 def counter(vocab_path: str, fitted: str, spread: Broadcast) -> LengthCounter:
-    """The worker's counter for a fitted table; an earlier table's is let go."""
-    if (vocab_path, fitted) not in _counters:
-        _counters.clear()
-        _counters[vocab_path, fitted] = LengthCounter(vocab_path, spread.value)
-    return _counters[vocab_path, fitted]
+    """The worker's counter for a fitted table."""
+    return kept(("counter", vocab_path, fitted), lambda: LengthCounter(vocab_path, spread.value))
 
 
 def count_tokens(
