@@ -7,22 +7,27 @@ contents, the digest only deciding where rows meet:
 1. locally: the partial aggregation of each map task leaves one row per content;
 2. salted: rows meet by (digest, content, salt), where only digests that hold
    over 1/HOT_KEYS of all rows are salted;
-3. globally: the salt winners of those few digests meet by (digest, content).
+3. globally: the salt winners of those few digests meet by (digest, content);
+   what wasn't salted is a whole group after step 2.
+
+Where a digest turns out to stand for two contents, its documents are told apart
+by content once more, so a collision never merges groups.
 
 The row with most code points in its original text stays, then the smallest id.
 A null text is empty, and all empty texts are equal.  A null id loses to any
 other.  Rows that repeat id and text are rows of one group and share their
 ``kept``; ``deduplicate`` returns one of them.  An empty table gives no rows.
+Ids are integers of any width up to 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import SALTS, hot_keys, salted_join, staged
+from .runtime import SALTS, hot_keys, one_row_each, salted_join, staged
 
 #: What normalisation deletes.
 SPACES = " \t\n\x0b\x0c\r"
@@ -81,15 +86,11 @@ def exact_groups(
         .groupBy("digest", "content", "hot", "salt")
         .agg(F.max(_preference(F.col("n_chars"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("n"))
     )
-    # a cold row is a finished group: its content is needed no more, its best row tells it from a colliding one
-    finished = F.when(F.col("hot"), F.lit(0).cast("decimal(38,0)")).otherwise(F.col("best"))
-    groups = (
-        met.select("digest", F.when(F.col("hot"), F.col("content")).alias("content"), finished.alias("own"), "best", "n")
-        .groupBy("digest", "content", "own")
-        .agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-        .select("digest", _preferred_id(F.col("best")).alias("keep_id"), "group_size")
-    )
-    groups = staged(groups, "op10-groups")
+    # a cold row is a whole group already and its content is needed no more; a hot one is the winner of a salt
+    won = staged(met.select("digest", F.when(F.col("hot"), F.col("content")).alias("content"), "hot", "best", "n"), "op10-winners")
+    cold = won.where(~F.col("hot")).select("digest", "best", F.col("n").alias("group_size"))
+    merged = won.where("hot").groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    groups = cold.unionByName(merged.drop("content")).select("digest", _preferred_id(F.col("best")).alias("keep_id"), "group_size")
     out = salted_join(digests, groups, "digest", hot)
     clashing = groups.groupBy("digest").count().where("count > 1").select("digest")
     if clashing.limit(1).count():
@@ -116,17 +117,14 @@ def exact_groups(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat id and text, one.
+    """The rows that stay, with all their columns; of rows that repeat id and text, one: that of the longest original
+    text, then of the largest hash of all its columns.
 
     Rows are matched by id and digest, so ids that are null or given twice do no harm.
     """
     mark = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    key = ["__op10_id", "__op10_digest"]
     keepers = exact_groups(docs, id_col, text_col).where("kept")
-    keepers = keepers.select(mark(F.col(id_col)).alias("__op10_id"), F.col("text_sha256").alias("__op10_digest")).distinct()
-    keepers = staged(keepers, "op10-keepers")
-    keyed = docs.withColumns(
-        {"__op10_id": mark(F.col(id_col)), "__op10_digest": sha256_hex(normalised(F.col(text_col)))}
-    )
-    kept = keyed.join(keepers, ["__op10_id", "__op10_digest"], "left_semi")
-    one = Window.partitionBy("__op10_id", "__op10_digest").orderBy(F.length(text_col).desc_nulls_last())
-    return kept.withColumn("__op10_row", F.row_number().over(one)).where("__op10_row = 1").select(docs.columns)
+    keepers = keepers.groupBy(mark(F.col(id_col)).alias(key[0]), F.col("text_sha256").alias(key[1])).agg(F.count(F.lit(1)).alias("n"))
+    keyed = docs.withColumns({key[0]: mark(F.col(id_col).cast("long")), key[1]: sha256_hex(normalised(F.col(text_col)))})
+    return one_row_each(docs, keyed, staged(keepers, "op10-keepers"), key, text_col)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..scratch import clear_scratch, delete_path, scratch_path, shared_dir, staged
 from ..shipping import ship
 
-__all__ = ["clear_scratch", "delete_path", "hot_keys", "salted_join", "scratch_path", "shared_dir", "staged", "table"]
+__all__ = ["clear_scratch", "delete_path", "hot_keys", "one_row_each", "salted_join", "scratch_path", "shared_dir", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +45,20 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) ->
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(flags, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def one_row_each(docs: DataFrame, keyed: DataFrame, keepers: DataFrame, key: list[str], text_col: str) -> DataFrame:
+    """One row of ``docs`` for each row of ``keepers`` (``key``, and ``n``: how many rows of ``docs`` have it), all columns kept.
+
+    ``keyed`` is ``docs`` with the columns of ``key``.  Where a key has several rows, that of the longest text stays,
+    then of the largest hash of all columns; these are combined in each map task first, so that a row given very
+    often meets itself in few copies.
+    """
+    kept = keyed.join(keepers.where("n = 1"), key, "left_semi").select(docs.columns)
+    repeated = keepers.where("n > 1")
+    if repeated.limit(1).count():
+        plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        order = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.xxhash64(*plain))
+        best = keyed.join(repeated, key, "left_semi").groupBy(*key).agg(F.max_by(F.struct(*docs.columns), order).alias("__row"))
+        kept = kept.unionByName(best.select("__row.*"))
+    return kept
