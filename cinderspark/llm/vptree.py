@@ -110,32 +110,31 @@ LEAF = 192
 BLOCK = 4_000_000
 
 
-def link(residents: np.ndarray, visitors: np.ndarray, r: int, seed: int = 11) -> np.ndarray:
+def link(residents: np.ndarray, visitors: np.ndarray, r: int, seed: int = 11, own: bool = True) -> np.ndarray:
     """Component root (an index into residents then visitors) of each point.
 
-    Joined are residents within r of each other and visitors within r of a
-    resident.  Pairs are joined as they are found, never listed.
+    Joined are visitors within r of a resident and, if ``own``, residents within
+    r of each other.  Pairs are joined as they are found, never listed.
     """
     points = np.concatenate([residents, visitors])
     forest = Forest(len(points))
     rng = np.random.default_rng(seed)
-    stack = [(np.arange(len(residents)), np.arange(len(points)))]
+    stack = [(np.arange(len(residents)), np.arange(0 if own else len(residents), len(points)))]
     while stack:
-        own, queries = stack.pop()
-        if not len(own) or not len(queries):
+        held, queries = stack.pop()
+        if not len(held) or not len(queries):
             continue
-        if len(own) <= LEAF:
-            _compare(points, own, queries, r, forest)
+        if len(held) <= LEAF:
+            _compare(points, held, queries, r, forest)
             continue
-        v, m = _split(points[own] if len(own) <= 4096 else points[rng.choice(own, 4096)], rng)
-        d_own = distance(points[own], v)
-        inside = d_own <= m
+        v, m = _split(points[held] if len(held) <= 4096 else points[rng.choice(held, 4096)], rng)
+        inside = distance(points[held], v) <= m
         if inside.all() or not inside.any():
-            _compare(points, own, queries, r, forest)
+            _compare(points, held, queries, r, forest)
             continue
         d = distance(points[queries], v).astype(np.int64)
-        stack.append((own[inside], queries[d - r <= m]))
-        stack.append((own[~inside], queries[d + r > m]))
+        stack.append((held[inside], queries[d - r <= m]))
+        stack.append((held[~inside], queries[d + r > m]))
     return forest.roots(np.arange(len(points)))
 
 
