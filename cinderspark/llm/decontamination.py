@@ -2,22 +2,27 @@
 
 Words become template words: numbers, names and units turn into typed
 placeholders (``<num>``, ``<name>``, ``<unit>``), other words are lower-cased
-and stripped of outer punctuation.  Windows of WINDOW template words of the
-benchmark are hashed; a document's windows are looked up by hash and the words
-compared, map-side, against one bounded block of the benchmark after another.
-Matches of an item are put together by alignment (a document's place less the
-item's), and within an alignment the slots must be consistent: one value of the
-item always stands for one value of the document, and the other way round.  A
-document is contaminated by an item when consistent windows cover COVERAGE of
-the item's words, so a question with other numbers or names is caught and a
-chance phrase isn't.
+and stripped of outer punctuation.  All windows of WINDOW template words of the
+benchmark are hashed into a table.  One scan of the documents hashes theirs and
+hands on those that a bit map of the benchmark's hashes lets pass (its size is
+bounded, whatever the benchmark's); these are joined with the table by hash, and
+the template words themselves are compared.  Matches of a document and an item
+are put together by alignment (a document's place less the item's), and within an
+alignment the slots must be consistent: one value of the item always stands for
+one value of the document, and the other way round, be it a number, a name or a
+unit.  A document is contaminated by an item when consistent windows cover
+COVERAGE of the item's words, so a question with other numbers or names is caught
+and a chance phrase isn't.
 
 A name is a capitalised word that doesn't start a sentence; a unit is a word of
 UNITS right after a number.  An item shorter than a window is one window of its
 own length, which is slid over every document; an item of a placeholder alone
 is thus met by every document with such a word.  Items without words match
-nothing; null texts are empty.  Repeated rows are repeated in the result; an
-item given twice is matched once as each.
+nothing; null texts are empty.  Rows are told apart by a number of their own, so
+ids may be null or given twice and repeated rows are repeated in the result; an
+item given twice is matched once as each.  Of items that cover equally much the
+one of the smallest id is reported.  Empty tables give no rows, or no matches.
+Ids are integers.
 """
 
 from __future__ import annotations
@@ -25,23 +30,27 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import keep_texts, map_texts
+from .arrow_maps import bounded_batches, map_texts
+from .runtime import hot_keys, salted_join, staged
+from .worker import kept
 
 #: Words of a window, and the covered share of an item's words that counts.
 WINDOW = 5
 COVERAGE = 0.5
-#: Benchmark text held by a worker at once; a larger benchmark is worked through in blocks.
-BLOCK_BYTES = 8_000_000
-#: Words whose codes a worker keeps.
-KEPT_WORDS = 400_000
+#: Bits of the map of window hashes for each window, tried PROBES times; the map has 2^LEAST_BITS bits at least and 2^MOST_BITS (32 MB) at most.
+BITS_EACH, PROBES = 32, 4
+LEAST_BITS, MOST_BITS = 20, 28
+#: Words whose codes a worker keeps, and the longest of them.
+KEPT_WORDS, KEPT_CHARS = 400_000, 64
 
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units, and numbers written as words, in English, French, German and Spanish.
@@ -96,211 +105,253 @@ def template(text: str) -> tuple[list[str], list[str]]:
     return out, own
 
 
-class TemplateIndex:
-    """Windows of a block of benchmark items, by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        self.window = window
-        self.items = [(i, *template(text)) for i, text in items]
-        vocabulary = sorted({t for _, ts, _ in self.items for t in ts} | {NUM, NAME, UNIT})
-        self.code = {t: k + 1 for k, t in enumerate(vocabulary)}
-        rng = np.random.default_rng(20)
-        self.random = rng.integers(0, 2**64, (window, len(vocabulary) + 1), np.uint64)
-        self.of_window: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        # items shorter than a window, by length and codes
-        self.short: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
-        for n, (_, ts, _) in enumerate(self.items):
-            codes = np.array([self.code[t] for t in ts], np.int64)
-            if 0 < len(ts) < window:
-                self.short[len(ts)][tuple(codes.tolist())].append(n)
-            for at, h in enumerate(self.hashes(codes, window).tolist()):
-                self.of_window[h].append((n, at))
-        self.short_hashes = {
-            size: np.concatenate([self.hashes(np.array(key, np.int64), size) for key in items]) for size, items in self.short.items()
-        }
-        self.sorted = np.array(sorted(self.of_window), np.uint64)
-        self.near = np.zeros(1 << 20, bool)
-        self.near[(self.sorted >> np.uint64(44)).astype(np.int64)] = True
-        # a document word's forms, as codes: 0 for a word that no item has, -1 for no word at all
-        self.words: dict[str, int] = {}
-        self.forms = np.zeros((1024, 5), np.int64)
-        self.rows: dict[tuple, int] = {}
-        self.foreign: dict[tuple[bool, bool], int] = {}
-        for named in (False, True):
-            for ends in (False, True):
-                form = (0, self.code[NAME] if named else 0, -2, False, ends)
-                self.foreign[named, ends] = self._form(form)
-
-    def hashes(self, codes: np.ndarray, size: int) -> np.ndarray:
-        n = len(codes) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        h = self.random[0][codes[:n]]
-        for k in range(1, size):
-            h = h ^ self.random[k][codes[k : k + n]]
-        return h
-
-    def _row(self, word: str) -> int:
-        first, elsewhere, unit, ends = word_forms(word)
-        get = lambda t: self.code.get(t, 0) if t else -1
-        form = (get(first), get(elsewhere), self.code[UNIT] if unit else -2, first == NUM, ends)
-        return self._form(form)
-
-    def _form(self, form: tuple) -> int:
-        """The row of a form; new ones are added in place, in a table that doubles when it is full."""
-        row = self.rows.setdefault(form, len(self.rows))
-        if row == len(self.forms):
-            self.forms = np.concatenate([self.forms, np.zeros_like(self.forms)])
-        self.forms[row] = form
-        return row
+#: Fixed at random: odd multipliers of a window's words.
+_ODD = np.random.default_rng(20).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def code_of(template_word: str) -> int:
+    """64 bits that stand for a template word; 0 for none."""
+    return xxhash.xxh64_intdigest(template_word.encode("utf-8", "surrogatepass")) | 1 if template_word else 0
+
+
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` codes, as signed longs."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h += codes[k : k + n] * _ODD[k]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+class Words:
+    """Codes of the words that a worker has met."""
 
-    def _seek(self, word: str) -> int:
-        """The row of a word that isn't kept yet: a plain word that no item has is told at once."""
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.seat: dict[str, int] = {}
+        self.size = 0
+        self.codes = np.zeros((1024, 2), np.uint64)  # at a sentence's start, and elsewhere
+        self.flags = np.zeros((1024, 3), bool)  # is a unit after a number, is a number, ends a sentence
+
+    def _learn(self, word: str, made: list[tuple]) -> int:
         core, ends = word, False
-        if not core.isalpha():
-            ends = core[-1] == "."
-            if ends or core[-1] == ",":
-                core = core[:-1]
-            if not core.isalpha():
-                return self._row(word)
+        if not core.isalpha() and core[-1] in ".,":
+            core, ends = core[:-1], core[-1] == "."
         low = core.lower()
-        if low in self.code or low in NUMBER_WORDS or low in UNITS:
-            return self._row(word)
-        return self.foreign[core[0].isupper(), ends]
-
-    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of a text's template words, and the places of their words."""
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        rows = list(map(self.words.get, words))
+        if core.isalpha() and low not in NUMBER_WORDS and low not in UNITS:  # most words: told at once
+            code = code_of(low)
+            made.append((code, _NAME_CODE if core[0].isupper() else code, False, False, ends))
+        else:
+            first, elsewhere, unit, ends = word_forms(word)
+            made.append((code_of(first), code_of(elsewhere), unit, first == NUM, ends))
+        row = self.size + len(made) - 1
+        if len(word) <= KEPT_CHARS:
+            self.seat[word] = row
+        return row
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of a text's template words, and the places of the words that they came from."""
+        if self.size > KEPT_WORDS:
+            self.forget()
+        rows = list(map(self.seat.get, words))
         if None in rows:
-            seek, kept = self._seek, self.words
-            for k in [k for k, r in enumerate(rows) if r is None]:
-                w = words[k]
-                rows[k] = kept[w] = seek(w)
-        f = self.forms[np.array(rows, np.int64)]
-        start = np.empty(len(rows), bool)
-        start[0], start[1:] = True, f[:-1, 4] == 1
-        codes = np.where(start, f[:, 0], f[:, 1])
-        if (f[:, 2] != -2).any():
-            after = np.zeros(len(rows), bool)
-            after[1:] = f[:-1, 3] == 1
-            codes = np.where((f[:, 2] != -2) & after, f[:, 2], codes)
-        real = np.flatnonzero(codes >= 0)
-        return codes[real], real
-
-    def matches(self, text: str) -> list[tuple[int, float, bool, int, int]]:
-        """(item, covered share, slots differ, first word, word after the last) of every item that covers something."""
+            made: list[tuple] = []
+            for k, r in enumerate(rows):
+                if r is None:
+                    r = self.seat.get(words[k])
+                    rows[k] = self._learn(words[k], made) if r is None else r
+            self._add(made)
+        at = np.array(rows, np.int64)
+        codes, flags = self.codes[at], self.flags[at]
+        start, after = np.ones(len(at), bool), np.zeros(len(at), bool)
+        start[1:], after[1:] = flags[:-1, 2], flags[:-1, 1]
+        out = np.where(start, codes[:, 0], codes[:, 1])
+        out[flags[:, 0] & after] = _UNIT_CODE
+        real = np.flatnonzero(out)
+        return out[real], real
+
+    def _add(self, made: list[tuple]) -> None:
+        need = self.size + len(made)
+        if need > len(self.codes):
+            room = max(need, 2 * len(self.codes))
+            self.codes = np.concatenate([self.codes, np.zeros((room - len(self.codes), 2), np.uint64)])
+            self.flags = np.concatenate([self.flags, np.zeros((room - len(self.flags), 3), bool)])
+        self.codes[self.size : need] = np.array([m[:2] for m in made], np.uint64).reshape(-1, 2)
+        self.flags[self.size : need] = np.array([m[2:] for m in made], bool).reshape(-1, 3)
+        self.size = need
+
+
+_NAME_CODE, _UNIT_CODE = code_of(NAME), code_of(UNIT)
+
+
+def template_at(words: list[str], place: int) -> str:
+    """The template word that ``template`` makes of one word of a text."""
+    first, elsewhere, unit, _ = word_forms(words[place])
+    before = word_forms(words[place - 1]) if place else ("", "", False, True)
+    return UNIT if unit and before[0] == NUM else first if before[3] else elsewhere
+
+
+class Finder:
+    """The scanning side: which windows of a text may be windows of the benchmark."""
+
+    def __init__(self, bits: bytes, sizes: Sequence[int]):
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.sizes = sizes
+        self.words = Words()
+
+    def find(self, text: str) -> list[dict]:
         words = text.split()
-        if not words:
+        if not words or not self.sizes:
             return []
-        codes, places = self.codes(words)
-        return self._short_matches(codes, words, places) + self._long_matches(codes, words, places)
-
-    def _short_matches(self, codes: np.ndarray, words: list[str], places: np.ndarray) -> list[tuple]:
-        """Matches of the items shorter than a window, by windows of each of their lengths."""
+        codes, places = self.words.of(words)
         out = []
-        for size, items in self.short.items():
-            at = np.flatnonzero(np.isin(self.hashes(codes, size), self.short_hashes[size]))
-            met: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for size in self.sizes:
+            h = window_hashes(codes, size)
+            at = np.arange(len(h))
+            for slot in _slots(h, len(self.bits) * 8):
+                some = self.bits[slot[at] >> 3] >> (slot[at] & 7).astype(np.uint8) & 1 == 1
+                at = at[some]
+                if not len(at):
+                    break
             for p in at.tolist():
-                key = tuple(codes[p : p + size].tolist())
-                if key in items:
-                    met[key].append(p)
-            for key, found in met.items():
-                for i in items[key]:
-                    scored = (self._scored(i, [(p, [0])], words, places, whole=True) for p in found)
-                    # the first place whose slots agree, with equal values if there is one
-                    out.append(min(scored, key=lambda m: (-m[1], m[2])))
+                span = places[p : p + size].tolist()
+                own = [words[k].strip(_OUTER).lower() or words[k] for k in span]
+                out.append(
+                    {"h": int(h[p]), "p": p, "first_word": span[0], "end_word": span[-1] + 1, "words": [template_at(words, k) for k in span], "own": own}
+                )
         return out
 
-    def _long_matches(self, codes: np.ndarray, words: list[str], places: np.ndarray) -> list[tuple]:
-        if len(codes) < self.window:
-            return []
-        whole = codes > 0
-        ok = whole[: len(codes) - self.window + 1].copy()
-        for k in range(1, self.window):
-            ok &= whole[k : k + len(ok)]
-        at = np.flatnonzero(ok)
-        if not len(at):
-            return []
-        h = self.random[0][codes[at]]
-        for k in range(1, self.window):
-            h = h ^ self.random[k][codes[at + k]]
-        near = self.near[(h >> np.uint64(44)).astype(np.int64)]
-        at, h = at[near], h[near]
-        if not len(at):
-            return []
-        seat = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        hit = self.sorted[seat] == h
-        lines: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for p, x in zip(at[hit].tolist(), h[hit].tolist()):
-            for n, o in self.of_window[x]:
-                lines[n, p - o].append(o)
-        of_item: dict[int, list] = defaultdict(list)
-        for (n, shift), offsets in lines.items():
-            of_item[n].append((shift, offsets, codes))
-        out = []
-        for n, aligned in of_item.items():
-            checked = [(shift, [o for o in offsets if self._same(n, o, codes, o + shift)]) for shift, offsets, _ in aligned]
-            checked = [c for c in checked if c[1]]
-            if checked:
-                out.append(self._scored(n, checked, words, places))
-        return out
 
-    def _same(self, n: int, offset: int, codes: np.ndarray, at: int) -> bool:
-        ts = self.items[n][1]
-        return all(self.code[ts[offset + k]] == codes[at + k] for k in range(self.window))
-
-    def _scored(self, n: int, aligned: list, words: list[str], places: np.ndarray, whole: bool = False) -> tuple:
-        item, ts, own = self.items[n]
-        covered: set[int] = set()
-        differ, low, high = False, len(words), 0
-        width = len(ts) if whole else self.window
-        for shift, offsets in aligned:
-            there: dict[str, str] = {}
-            back: dict[str, str] = {}
-            for o in offsets:
-                span = range(o, min(o + width, len(ts)))
-                slots = [(own[k], words[places[k + shift]].strip(_OUTER).lower()) for k in span if ts[k] in (NUM, NAME)]
-                if any(there.get(a, b) != b or back.get(b, a) != a for a, b in slots):
-                    continue
-                if whole and not len({a for a, _ in slots}) == len({b for _, b in slots}) == len(set(slots)):
-                    continue
-                there.update(slots)
-                back.update((b, a) for a, b in slots)
-                differ |= any(a != b for a, b in slots)
-                covered.update(span)
-                low, high = min(low, int(places[o + shift])), max(high, int(places[span[-1] + shift]) + 1)
-        return item, len(covered) / len(ts), differ, low, high
-
-
-_held: dict[tuple[str, int], TemplateIndex] = {}
-
-
-def index_of(name: str, items: Broadcast, window: int) -> TemplateIndex:
-    """The worker's index of a broadcast block; an earlier block's is let go."""
-    if (name, window) not in _held:
-        _held.clear()
-        _held[name, window] = TemplateIndex(items.value, window)
-    return _held[name, window]
-
-
-def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark, in lists of about BLOCK_BYTES of text."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
-    block, size = [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t)
-        if size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-MATCHES = "doc_id long, matches array<struct<item_id:long,coverage:double,reworded:boolean,first_word:int,end_word:int>>"
+def _slots(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The places in a map of ``size`` bits that hashes stand at."""
+    low, high = h & (size - 1), (h >> 32) & (size - 1)
+    for k in range(PROBES):
+        yield (low + k * high) & (size - 1)
+
+
+_HITS = "array<struct<h:long,p:int,first_word:int,end_word:int,words:array<string>,own:array<string>>>"
+_HIT = pa.list_(
+    pa.struct(
+        [("h", pa.int64()), ("p", pa.int32()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("words", pa.list_(pa.string())), ("own", pa.list_(pa.string()))]
+    )
+)
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, item_id, n, h, o, item_words, item_own) for each window of each item, staged: ``item`` numbers the rows of
+    the benchmark, ``n`` is an item's words, ``o`` a window's offset."""
+
+    def cut(batch: pa.RecordBatch, texts: list[str]) -> dict:
+        made = [template(t) for t in texts]
+        hashes = [window_hashes(np.array([code_of(t) for t in ts], np.uint64), min(window, len(ts))).tolist() if ts else [] for ts, _ in made]
+        strings = pa.list_(pa.string())
+        return {
+            "item_id": batch.column("item_id"),
+            "words": pa.array([ts for ts, _ in made], strings),
+            "own": pa.array([own for _, own in made], strings),
+            "hashes": pa.array(hashes, pa.list_(pa.int64())),
+        }
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("_text"))
+    items = map_texts(rows, "_text", "item_id long, words array<string>, own array<string>, hashes array<long>", cut)
+    items = staged(items.withColumn("item", F.monotonically_increasing_id()), "op9-items")
+    size = F.least(F.lit(window), F.size("words"))
+    part = lambda c: F.slice(c, F.col("o") + 1, F.col("size"))
+    each = items.select("item", "item_id", F.size("words").alias("n"), size.alias("size"), "words", "own", F.posexplode("hashes").alias("o", "h"))
+    return each.select("item", "item_id", "n", "size", "h", "o", part("words").alias("item_words"), part("own").alias("item_own"))
+
+
+def _bit_map(windows: DataFrame) -> bytes:
+    """The map of the windows' hashes, as bytes whose lowest bit comes first: its size is bounded."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, BITS_EACH * windows.count()))))))
+    mask = F.lit((1 << bits) - 1)
+    low, high = F.col("h").bitwiseAND(mask), F.shiftright("h", 32).bitwiseAND(mask)
+    slots = F.explode(F.array(*[(low + k * high).bitwiseAND(mask) + 1 for k in range(PROBES)]))
+    slot = F.col("slot")
+    parts = windows.select("h").distinct().select(slots.alias("slot")).groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.collect():  # at most 2^(MOST_BITS - 15) rows of 4096 bytes
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = part
+    return out.tobytes()
+
+
+def _candidates(key: DataFrame, windows: DataFrame) -> DataFrame:
+    """The rows of ``key`` (key, _text) with ``hits``: the windows that may be the benchmark's, in place of the text."""
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # WINDOW values at most
+    spread = key.sparkSession.sparkContext.broadcast(_bit_map(windows))
+    name = uuid.uuid4().hex
+    kind = dict(key.dtypes)["key"]
+
+    def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
+        finder = _finder(name, spread, sizes)
+        return {"key": batch.column("key"), "hits": pa.array([finder.find(t) for t in texts], _HIT)}
+
+    return map_texts(key, "_text", f"key {kind}, hits {_HITS}", work)
+
+
+def _finder(name: str, bits: Broadcast, sizes: Sequence[int]) -> Finder:
+    """The worker's finder of a broadcast map."""
+    return kept(("templates", name), lambda: Finder(bits.value, sizes))
+
+
+def score_pair(n: int, hits: list[dict], window: int = WINDOW) -> tuple[float, bool, int, int]:
+    """(covered share, slots differ, first word, word after the last) of an item of ``n`` words from the windows that
+    it shares with a document.
+
+    A window counts if its slots agree with each other and with the windows before it in its alignment.  An item
+    that is one short window is judged at each of its places by itself: the best place counts, then the first.
+    """
+    lines: dict[tuple, list[dict]] = defaultdict(list)
+    for hit in sorted(hits, key=lambda x: (x["o"], x["p"])):
+        lines[hit["p"] - hit["o"]].append(hit)
+    covered: set[int] = set()
+    differ, low, high = False, 0, 0
+    best = None
+    for shift in sorted(lines):
+        there: dict[str, str] = {}
+        back: dict[str, str] = {}
+        for hit in lines[shift]:
+            slots = {(a, b) for t, a, b in zip(hit["words"], hit["item_own"], hit["own"]) if t in (NUM, NAME, UNIT)}
+            agree = len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots})
+            if not agree or any(there.get(a, b) != b or back.get(b, a) != a for a, b in slots):
+                continue
+            there.update(slots)
+            back.update((b, a) for a, b in slots)
+            other = any(a != b for a, b in slots)
+            if n < window:
+                if best is None or best[1] > other:
+                    best = (1.0, other, hit["first_word"], hit["end_word"])
+                continue
+            low = min(low, hit["first_word"]) if covered else hit["first_word"]
+            high, differ = max(high, hit["end_word"]), differ or other
+            covered.update(range(hit["o"], hit["o"] + len(hit["words"])))
+    return best or (len(covered) / n, differ, low, high)
+
+
+def _matches(hits: DataFrame, windows: DataFrame, coverage: float, window: int) -> DataFrame:
+    """(row, item_id, coverage, reworded, first_word, end_word) of the items that contaminate a row, from (row, hits) staged."""
+    each = hits.select("row", F.explode("hits").alias("t")).select("row", "t.*")
+    hot = staged(hot_keys(each.select("h"), "h"), "op9-hot")
+    met = salted_join(each, windows, "h", hot).where(F.col("words") == F.col("item_words"))
+    hit = F.struct("p", "o", "first_word", "end_word", "words", "own", "item_own")
+    pairs = met.groupBy("row", "item", "item_id", "n").agg(F.collect_list(hit).alias("hits"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "item_id", "coverage", "reworded", "first_word", "end_word"]
+        for batch in batches:
+            made = [score_pair(n, hits, window) for n, hits in zip(batch.column("n").to_pylist(), batch.column("hits").to_pylist())]
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.float64(), pa.bool_(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), *columns], names=names)
+
+    schema = "row long, item_id long, coverage double, reworded boolean, first_word int, end_word int"
+    return bounded_batches(pairs.select("row", "item_id", "n", "hits")).mapInArrow(score, schema).where(F.col("coverage") >= coverage)
 
 
 def find_matches(
@@ -313,50 +364,23 @@ def find_matches(
     item_col: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """One row per document and benchmark block: the items that contaminate it, with place and evidence."""
-    spark = docs.sparkSession
-    key = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    out = None
-    for block in _benchmark_blocks(benchmark, item_col, item_text):
-        found = _against(key, spark.sparkContext.broadcast(block), uuid.uuid4().hex, coverage, window)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = key.select("doc_id", F.array().cast(MATCHES.split(" ", 3)[3]).alias("matches"))
-    return out
-
-
-def _against(key: DataFrame, items: Broadcast, name: str, coverage: float, window: int) -> DataFrame:
-    def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
-        index = index_of(name, items, window)
-        rows = []
-        for text in texts:
-            hits = [m for m in index.matches(text) if m[1] >= coverage]
-            hits.sort(key=lambda m: (-m[1], m[0] is None, m[0] or 0))
-            rows.append(
-                [{"item_id": i, "coverage": c, "reworded": d, "first_word": a, "end_word": b} for i, c, d, a, b in hits]
-            )
-        kind = pa.list_(
-            pa.struct(
-                [("item_id", pa.int64()), ("coverage", pa.float64()), ("reworded", pa.bool_()), ("first_word", pa.int32()), ("end_word", pa.int32())]
-            )
-        )
-        return {"doc_id": batch.column("doc_id"), "matches": pa.array(rows, kind)}
-
-    return map_texts(key, "_text", MATCHES, work)
+    """One row per document: ``doc_id``, and ``matches``: the items that contaminate it, with place and evidence,
+    those that cover most first, then those of smaller ids (a null id last)."""
+    windows = benchmark_windows(benchmark, window, item_col, item_text)
+    key = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("_text"))
+    light = staged(_candidates(key, windows).withColumn("row", F.monotonically_increasing_id()), "op9-hits")
+    found = _matches(light.where(F.size("hits") > 0).select("row", "hits"), windows, coverage, window)
+    match = F.struct("item_id", "coverage", "reworded", "first_word", "end_word")
+    order = F.struct((-F.col("coverage")).alias("a"), F.col("item_id").isNull().alias("b"), F.col("item_id").alias("c"), match.alias("m"))
+    per = found.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["m"]).alias("matches"))
+    none = F.array().cast(dict(per.dtypes)["matches"])
+    return light.select("row", F.col("key").alias("doc_id")).join(per, "row", "left").select("doc_id", F.coalesce("matches", none).alias("matches"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: ``id_col``, ``contaminated``, ``n_items``, ``item_id`` and ``coverage`` of the item
     that covers most (then the smallest id), and ``reworded``: whether only slots with other values match it."""
     found = find_matches(docs, benchmark, id_col=id_col, **options)
-    bytes_of = benchmark.agg(F.sum(F.length(options.get("item_text", "text")))).first()[0] or 0
-    if bytes_of > BLOCK_BYTES:
-        # several blocks: bring a document's rows together
-        best = found.select("doc_id", F.explode_outer("matches").alias("m"))
-        found = best.groupBy("doc_id").agg(F.collect_list("m").alias("matches"))
-        found = found.withColumn(
-            "matches", F.expr("array_sort(matches, (a, b) -> CASE WHEN a.coverage > b.coverage THEN -1 WHEN a.coverage < b.coverage THEN 1 WHEN a.item_id < b.item_id THEN -1 WHEN a.item_id > b.item_id THEN 1 ELSE 0 END)")
-        )
     top = F.try_element_at("matches", F.lit(1))
     return found.select(
         F.col("doc_id").alias(id_col),
@@ -377,15 +401,14 @@ def decontaminate(
     item_col: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """The rows that no item contaminates, with all their columns; ids play no part and may be null or given twice."""
-    for block in _benchmark_blocks(benchmark, item_col, item_text):
-        docs = _without(docs, docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, coverage, window, text_col)
-    return docs
-
-
-def _without(docs: DataFrame, items: Broadcast, name: str, coverage: float, window: int, text_col: str) -> DataFrame:
-    def keep(texts: list[str]) -> list[bool]:
-        index = index_of(name, items, window)
-        return [all(m[1] < coverage for m in index.matches(t)) for t in texts]
-
-    return keep_texts(docs, text_col, keep)
+    """The rows that no item contaminates, with all their columns; ids play no part and may be null or given twice.
+
+    The documents are written once with a number for each row, by which the contaminated ones are left out.
+    """
+    windows = benchmark_windows(benchmark, window, item_col, item_text)
+    row = "__op9_row"
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "op9-rows")
+    key = numbered.select(F.col(row).alias("key"), F.col(text_col).alias("_text"))
+    hits = staged(_candidates(key, windows).where(F.size("hits") > 0).withColumnRenamed("key", "row"), "op9-hits")
+    bad = staged(_matches(hits, windows, coverage, window).select(F.col("row").alias(row)).distinct(), "op9-contaminated")
+    return numbered.join(bad, row, "left_anti").select(docs.columns)
