@@ -7,37 +7,43 @@ on them (chi-square over CHI, more often toxic); a feature's weight is
 each feature the index holds its largest weight in each block.  A query bounds
 every block by its weights times those maxima and scores blocks in full, best
 bound first, until no block can reach its k-th neighbour: the neighbours are
-those of a full scan.  Neighbours vote with the square of their cosine, a small
+those of a full scan.  An example is no neighbour of a text that equals it, so
+that a labelled document is scored by others' labels, as any document is, and
+its evidence never cites itself.  Neighbours vote with the square of their cosine, a small
 prior holding the share among examples without any kept feature; an isotonic
 fit of the examples' own leave-one-out votes calibrates the result.
 
-The model is fitted on at most MOST_EXAMPLES labelled rows, chosen by a hash of
+The model is fitted on at most MOST_EXAMPLES labelled ids, chosen by a hash of
 the id, all of them training rows (crc32 of the id as text, modulo 5, not 0).
-Ids, languages, sources and labels are no features.  A text without a kept
+Of several texts of an id the one with the largest hash is its example.  Ids, languages, sources and labels are no features.  A text without a kept
 feature (an empty or null one too) gets the calibrated prior; without labelled
 examples every score is 0.  Of repeated labels of an id the largest counts.
-Repeated rows are repeated in the result.
+Repeated rows are repeated in the result; an empty table gives no rows.  Ties
+between neighbours go to the smaller id.  Ids are integers.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_maps import keep_texts, map_texts
 from .runtime import staged
+from .worker import kept as held
 
 #: Labelled rows the model is fitted on, at most.
 MOST_EXAMPLES = 8192
-#: Features kept, at most; examples that must have one; chi-square that it must reach.
-MOST_FEATURES, LEAST_DOCS, CHI = 4096, 4, 20.0
+#: Examples that must have a feature; chi-square that it must reach.
+LEAST_DOCS, CHI = 4, 20.0
 GRAM = 5
 NEIGHBOURS = 40
 #: Examples in a block of the index.
@@ -60,6 +66,11 @@ def word_features(word: str) -> tuple[str, ...]:
     return (core, *{marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)})
 
 
+def text_digest(text: str) -> int:
+    """What tells a text from others: 64 bits, as a signed number."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 @dataclass
 class Model:
     features: dict[str, int]
@@ -70,6 +81,7 @@ class Model:
     columns: np.ndarray
     values: np.ndarray
     prior: float
+    digests: np.ndarray  # of the examples' texts
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     heights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
 
@@ -101,6 +113,9 @@ class BlockMax:
         self.peak_rows = np.searchsorted(kept, np.arange(size + 1) * max(1, len(self.starts)))
         self.dense = np.zeros(size)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.same: dict[int, list[int]] = {}
+        for k, d in enumerate(model.digests.tolist()):
+            self.same.setdefault(d, []).append(k)
 
     def counts(self, text: str) -> Counter:
         """How often the text has each kept feature."""
@@ -118,8 +133,8 @@ class BlockMax:
                         self.words[w] = f
         return Counter(x for f in found if f for x in f)
 
-    def neighbours(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, best first, smaller ids first on ties."""
+    def neighbours(self, at: np.ndarray, w: np.ndarray, k: int, without: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest but those ``without``, best first, smaller ids first on ties."""
         m = self.model
         spans = [(self.peak_rows[a], self.peak_rows[a + 1]) for a in at.tolist()]
         blocks = np.concatenate([self.peak_block[s:e] for s, e in spans])
@@ -135,7 +150,10 @@ class BlockMax:
             s, e = m.rows[first], m.rows[last]
             score = np.add.reduceat(self.dense[m.columns[s:e]] * m.values[s:e], m.rows[first:last] - s)
             who = np.arange(first, last)
-            some = (score > max(floor - 1e-9, 0)) & (who != without)
+            some = score > max(floor - 1e-9, 0)
+            for own in without:
+                if first <= own < last:
+                    some[own - first] = False
             best_i, best_s = np.concatenate([best_i, who[some]]), np.concatenate([best_s, score[some]])
             if len(best_i) > k:
                 top = np.lexsort((m.ids[best_i], -np.round(best_s, 9)))[:k]
@@ -154,7 +172,7 @@ class BlockMax:
         counts = self.counts(text)
         if not counts or not len(self.model.ids):
             return self.model.prior, []
-        near, cosine = self.neighbours(*self.model.vector(counts), k)
+        near, cosine = self.neighbours(*self.model.vector(counts), k, self.same.get(text_digest(text), ()))
         evidence = [(int(self.model.ids[i]), float(c), int(self.model.toxic[i])) for i, c in zip(near[:3], cosine[:3])]
         return self.vote(near, cosine), evidence
 
@@ -183,24 +201,26 @@ def is_training(doc_id: Column) -> Column:
 
 
 def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(doc_id, toxic, features, counts) of the bounded labelled sample, staged."""
+    """(doc_id, toxic, digest, features, counts) of the bounded labelled sample, staged: one row for each id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & is_training(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     every = max(1, -(-known.count() * 10 // (MOST_EXAMPLES * 9)))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(MOST_EXAMPLES)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    chosen = text.join(F.broadcast(sample), "doc_id")
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    met = text.join(F.broadcast(sample), "doc_id")
+    chosen = met.groupBy("doc_id", "toxic").agg(F.max_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
         seen = [Counter(f for w in t.lower().split() for f in word_features(w)) for t in texts]
         return {
             "doc_id": batch.column("doc_id"),
             "toxic": batch.column("toxic"),
+            "digest": pa.array([text_digest(t) for t in texts], pa.int64()),
             "features": pa.array([list(c) for c in seen], pa.list_(pa.string())),
             "counts": pa.array([list(c.values()) for c in seen], pa.list_(pa.int32())),
         }
 
-    made = map_texts(chosen, "_text", "doc_id long, toxic int, features array<string>, counts array<int>", work)
+    made = map_texts(chosen, "_text", "doc_id long, toxic int, digest long, features array<string>, counts array<int>", work)
     return staged(made, "op3-examples")
 
 
@@ -215,45 +235,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chi = n * F.pow(F.col("a") * (neg - b) - b * (pos - F.col("a")), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * pos * neg)
     if pos and neg:
         kept = met.where((F.col("df") >= LEAST_DOCS) & (F.col("df") < n) & (F.col("a") * n > F.col("df") * pos))
-        kept = kept.withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").limit(MOST_FEATURES).collect()
+        kept = kept.withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").collect()
     else:
         kept = []
     features = {r.f: k for k, r in enumerate(kept)}
     idf = np.array([np.log((n + 1) / (r.df + 1)) + 1 for r in kept])
     words = F.transform(F.arrays_zip("features", "counts"), lambda p: p)
     pairs = F.filter(words, lambda p: p["features"].isin(list(features))) if features else F.array()
-    rows = examples.select("doc_id", "toxic", pairs.alias("p")).collect()
-    return _model(features, idf, [(r.doc_id, r.toxic, {features[x.features]: x.counts for x in r.p}) for r in rows])
+    rows = examples.select("doc_id", "toxic", "digest", pairs.alias("p")).collect()
+    return _model(features, idf, [(r.doc_id, r.toxic, {features[x.features]: x.counts for x in r.p}, r.digest) for r in rows])
 
 
-def _model(features: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> Model:
-    bare = [y for _, y, c in rows if not c]
-    prior = (sum(bare) + 0.5 * bool(rows) * (sum(y for _, y, _ in rows) / max(1, len(rows)))) / (len(bare) + 0.5)
+def _model(features: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int], int]]) -> Model:
+    bare = [y for _, y, c, _ in rows if not c]
+    prior = (sum(bare) + 0.5 * bool(rows) * (sum(r[1] for r in rows) / max(1, len(rows)))) / (len(bare) + 0.5)
     # like examples share blocks, which keeps the blocks' maxima telling
     rows = sorted((r for r in rows if r[2]), key=lambda r: (r[1], min(r[2]), len(r[2]), r[0]))
     empty = np.zeros(0)
-    model = Model(features, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), np.zeros(1, np.int64), empty.astype(np.int64), empty, prior)
+    model = Model(features, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), np.zeros(1, np.int64), empty.astype(np.int64), empty, prior, np.array([r[3] for r in rows], np.int64))
     if rows:
-        parts = [model.vector(c) for _, _, c in rows]
+        parts = [model.vector(r[2]) for r in rows]
         model.rows = np.concatenate([[0], np.cumsum([len(a) for a, _ in parts])])
         model.columns = np.concatenate([a for a, _ in parts])
         model.values = np.concatenate([w for _, w in parts])
         index = BlockMax(model)
-        raw = np.array([index.vote(*index.neighbours(a, w, NEIGHBOURS, without=k)) for k, (a, w) in enumerate(parts)])
+        raw = np.array([index.vote(*index.neighbours(a, w, NEIGHBOURS, index.same[d])) for (a, w), d in zip(parts, model.digests.tolist())])
         raw = np.concatenate([raw, np.full(len(bare), prior)])
         model.knots, model.heights = isotonic(raw, np.concatenate([model.toxic, bare]))
     return model
 
 
-_held: dict[str, BlockMax] = {}
-
-
 def index_of(name: str, spread: Broadcast) -> BlockMax:
-    """The worker's index of a broadcast model; an earlier one is let go."""
-    if name not in _held:
-        _held.clear()
-        _held[name] = BlockMax(spread.value)
-    return _held[name]
+    """The worker's index of a broadcast model."""
+    return held(("toxicity", name), lambda: BlockMax(spread.value))
 
 
 def score_documents(
