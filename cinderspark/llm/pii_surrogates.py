@@ -1,34 +1,39 @@
 """Operator 1: personal data replaced by keyed, type-consistent surrogates.
 
 Detected are e-mail addresses, telephone numbers, payment card numbers, IBANs,
-national numbers (ddd-dd-dddd), IPv4 addresses, and person names (a known given
-name, or an honorific, and the capitalised words after it).
+national numbers (ddd-dd-dddd), IPv4 addresses, and person names: a known given
+name or an honorific and the capitalised words after it, and two or three
+capitalised words of no known name beside a word that goes with persons (CUES:
+"met", "said", "dear"), or joined by "and" to a name so found.
 
-Distinctness: all kinds but surnames go through a keyed permutation of the
+Distinctness: numbers and addresses go through a keyed permutation of the
 strings of their own format (a Feistel network over mixed radices), so two
 entities of a kind never share a surrogate, without any shared state.  Kept are
 the country code of a telephone number or IBAN, check digits' validity (Luhn,
-mod 97), an address's top-level domain, letter case and all punctuation; a
-given name becomes one of the same gender and script, a surname is spelt from
-syllables of its script with a feminine ending where the script's names have
-one and the given name calls for it.  The permutation is keyed and takes a tweak.
+mod 97), an address's top-level domain, letter case and all punctuation.  A known
+given name becomes one of the same gender and script; other names are spelt from
+syllables, or where there are none, from letters, of their own script, and keep
+the ending that marks them as a woman's or a man's.
 
 Collision checks: all distinct entities of the input are gathered; where a
 surrogate equals an entity that really occurs, or another's surrogate, or its
 own entity, the tweak is raised until none does.  Those few exceptions are
-broadcast if at most MOST_BROADCAST, and joined to their documents otherwise.
+broadcast if at most MOST_BROADCAST, and joined to their rows otherwise.
 Coreference: a surrogate depends on the canonical entity alone (digits of a
-number, lower-case letters), so every mention gets the same one, in the form in
-which it is written.
+number, lower-case letters, a family name's masculine form), so every mention
+gets the same one, in the form in which it is written.
 
 Null text stays null and has no entities; empty text stays empty.  Repeated rows
-are repeated in the result; other columns pass through untouched.
+are repeated in the result, whose rows need no id to tell them apart.  The result
+has the id, the text and its entities; other columns are left out.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +47,7 @@ from .runtime import delete_path, scratch_path, staged
 #: Exceptions that are broadcast, at most (some 100 bytes each).
 MOST_BROADCAST = 100_000
 ROUNDS = 10
-KINDS = ("email", "phone", "card", "iban", "national", "ip", "given", "surname")
+KINDS = ("email", "phone", "card", "iban", "national", "ip", "given", "forename", "surname")
 
 # Given names by script and gender, and syllables to spell surnames from.
 GIVEN = {
@@ -66,12 +71,34 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве во га го да де до за зо ка ке ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се со та те ти то".split(),
     "greek": "βα βε βο γα γε γο δα δε δο κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε πο ρα ρε ρι ρο σα σε σο τα τε τι το".split(),
 }
-SURNAME_ENDS = {"latin": ("", ""), "cyrillic": ("ов", "ова"), "greek": ("ης", "η")}
+SURNAME_ENDS = {"cyrillic": ("ов", "ова"), "greek": ("ης", "η")}
+#: Endings of a man's and a woman's form of one family name.
+FORMS = (("ов", "ова"), ("ев", "ева"), ("ин", "ина"), ("ий", "ая"), ("ov", "ova"), ("ev", "eva"), ("ski", "ska"), ("ský", "ská"))
 HONORIFICS = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Herr": "m", "Frau": "f", "Monsieur": "m",
     "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f",
     "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
+#: Words that stand right before or after a person's name; words that start no name; words that join names.
+CUES_BEFORE = frozenset(
+    """met meets named dear contact colleague colleagues friend friends husband wife brother sister mother father son daughter
+    uncle aunt nurse president chancellor minister judge captain author patient client attorney engineer professor doctor
+    teacher neighbour neighbor sincerely regards name is rencontré nommé nommée appelé appelée cher chère appelle madame
+    monsieur traf namens heißt heisst liebe lieber namen conoció llamado llamada llama querido querida señor señora""".split()
+)
+CUES_AFTER = frozenset(
+    """met meets said says wrote writes asked told replied answered lives lived works worked lived thinks smiled laughed called
+    phoned emailed habite habitait écrit écrivit née né répondit sagte sagt schrieb wohnt wohnte geboren traf antwortete dijo
+    dice escribió vive vivía nació respondió""".split()
+)
+NO_NAMES = frozenset(
+    """the a an this that these those he she it they we you i his her its their our your my and or but if when then there here
+    what who where why how yes no not new north south east west upper lower great saint san santa los las el la le les un une
+    der die das ein eine und oder in on at of for from with by to as is was are were has had after before yesterday today
+    tomorrow later once mr mrs ms monday tuesday wednesday thursday friday saturday sunday january february march april may
+    june july august september october november december united public general license university street avenue road""".split()
+)
+JOINERS = frozenset([" and ", ", ", ", and ", " et ", " und ", " y ", " e "])
 _GENDERS = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names.split()}
 
 _LOCAL = re.compile(r"[\w.%+-]+\Z")
@@ -116,14 +143,22 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[:,]?\s+\Z")
+_WORD_AFTER = re.compile(r"\s+([^\W\d_]+)")
+
+
 def _name_spans(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Given names, and up to two capitalised words after a given name or an honorific.
+    """Given names, and up to two capitalised words after a given name or an honorific; names that their context tells.
 
     A full stop stands only between an honorific or an initial and what follows.
     """
     end, gender, rest, short = -1, "", 0, False
+    chain: list[re.Match] = []  # capitalised words of no known name, a space apart
+    told = -1  # where a name found by context ends
     for m in _CAPITALISED.finditer(text):
         word = m[0]
+        if word[0].islower():
+            continue
         between = text[end : m.start()] if rest else ""
         follows = bool(rest) and (between == " " or (short and between == ". "))
         titled = word.capitalize() if word.isupper() else word
@@ -136,10 +171,42 @@ def _name_spans(text: str) -> Iterator[tuple[int, int, str, str]]:
             short = len(word) == 1
             if not short:
                 rest -= 1
-                yield m.start(), m.end(), "surname", gender
+                yield m.start(), m.start() + _name_length(word), "surname", gender
         else:
             rest = 0
+            if chain and text[chain[-1].end() : m.start()] == " ":
+                chain.append(m)
+            else:
+                found = _by_context(text, chain, told)
+                yield from found
+                told = found[-1][1] if found else told
+                chain = [m]
         end = m.end()
+    yield from _by_context(text, chain, told)
+
+
+def _name_length(word: str) -> int:
+    """Letters of a word that are a name: scripts without spaces run on after one."""
+    return 3 if len(word) > 4 and script_of(word) in ("cjk", "hiragana", "katakana") else len(word)
+
+
+def _by_context(text: str, chain: list[re.Match], told: int) -> list[tuple[int, int, str, str]]:
+    """The name that a chain of capitalised words is, if its context says so: a person's cue, or a name before it."""
+    opened = False  # by a cue that starts the sentence
+    while chain and (chain[0][0].lower() in NO_NAMES or chain[0][0].lower() in CUES_BEFORE):
+        opened = chain[0][0].lower() in CUES_BEFORE
+        chain = chain[1:]
+    words = [m[0] for m in chain]
+    if not 2 <= len(words) <= 3 or len(set(words)) < len(words):
+        return []
+    if any(len(w) < 2 or w.isupper() or w.lower() in NO_NAMES for w in words):
+        return []
+    s, e = chain[0].start(), chain[-1].end()
+    before, after = _WORD_BEFORE.search(text[max(0, s - 40) : s]), _WORD_AFTER.match(text[e : e + 40])
+    cued = opened or before and before[1].lower() in CUES_BEFORE or after and after[1] in CUES_AFTER
+    if not cued and not (0 <= told < s and text[told:s] in JOINERS):
+        return []
+    return [(m.start(), m.end(), "surname" if k else "forename", "") for k, m in enumerate(chain)]
 
 
 # --- keyed permutation -----------------------------------------------------
@@ -211,9 +278,35 @@ def _given_cycles(key: bytes) -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "none").split(" ")[0].split("-")[0].lower()
+
+
 def script_of(word: str) -> str:
-    c = word[:1]
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+    """The script of a word's first letter, as its name has it: latin, cyrillic, greek, cjk, hangul, arabic, ..."""
+    return _script(word[:1])
+
+
+@lru_cache(maxsize=4096)
+def _letters_like(c: str) -> str:
+    """Letters of one kind and script with this one: of its block of 128, or of its whole range where that is larger."""
+    for low, high in ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3)):
+        if low <= ord(c) <= high:
+            return "".join(map(chr, range(low, high + 1)))
+    block = ord(c) & ~0x7F
+    kind, script = unicodedata.category(c), _script(c)
+    return "".join(x for x in map(chr, range(block, block + 128)) if unicodedata.category(x) == kind and _script(x) == script)
+
+
+def form_of(name: str) -> tuple[str, str, bool] | None:
+    """A family name's endings, a man's and a woman's, and whether it has the latter; None if it has neither."""
+    for man, woman in FORMS:
+        if name.endswith(woman) and len(name) > len(woman) + 1:
+            return man, woman, True
+        if name.endswith(man) and len(name) > len(man) + 1:
+            return man, woman, False
+    return None
 
 
 def canonical(kind: str, mention: str, gender: str) -> str:
@@ -224,15 +317,16 @@ def canonical(kind: str, mention: str, gender: str) -> str:
         return mention.replace(" ", "")
     if kind == "email":
         return mention.lower()
-    if kind in ("given", "surname"):
+    if kind in ("given", "forename", "surname"):
         name = mention.capitalize() if mention.isupper() else mention
-        # a feminine form refers to the family that the masculine one does
-        return name[:-1] if kind == "surname" and name.endswith(("ова", "ева", "ина")) else name
+        form = form_of(name) if kind == "surname" else None
+        # a woman's form refers to the family that the man's does
+        return name[: -len(form[1])] + form[0] if form and form[2] else name
     return mention
 
 
 def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
-    """The surrogate of a canonical entity, itself canonical; of a surname, its stem."""
+    """The surrogate of a canonical entity, itself canonical."""
     label = f"{kind}|{tweak}"
     if kind == "email":
         body, _, top = entity.rpartition(".")
@@ -256,17 +350,28 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: int = 0) -> str:
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
     if kind == "given":
         return _given_cycles(key)[entity]
-    if kind == "surname":
-        syllables = SYLLABLES[script_of(entity)]
-        value = int.from_bytes(hashlib.blake2b(f"{label}|{entity}".encode(), key=key, digest_size=12).digest(), "big")
-        out = ""
-        for _ in range(min(6, max(3, len(entity) // 2))):
-            value, k = divmod(value, len(syllables))
-            out += syllables[k]
-        return out.capitalize()
+    if kind in ("forename", "surname"):
+        return _spelt(entity, hashlib.blake2b(f"{label}|{entity}".encode(), key=key).digest(), kind == "surname")
     return permute_format(entity, key, label)
 
 
+def _spelt(entity: str, seed: bytes, family: bool) -> str:
+    """A name of an entity's script, drawn by the seed; a family name gets a man's ending of its kind."""
+    value = int.from_bytes(seed, "big")
+    script, out = script_of(entity), ""
+    if script not in SYLLABLES:
+        for c in entity[:24]:
+            letters = _letters_like(c) if c.isalpha() else c
+            value, k = divmod(value, len(letters))
+            out += letters[k]
+        return out
+    for _ in range(min(6, max(3, len(entity) // 2))):
+        value, k = divmod(value, len(SYLLABLES[script]))
+        out += SYLLABLES[script][k]
+    form = form_of(entity)
+    return out.capitalize() + (form[0] if form else SURNAME_ENDS.get(script, ("",))[0] if family else "")
+
+
 def render(kind: str, mention: str, new: str, gender: str) -> str:
     """A canonical surrogate in the form of a mention."""
     if kind in ("phone", "card", "national"):
@@ -277,11 +382,13 @@ def render(kind: str, mention: str, new: str, gender: str) -> str:
         return "".join(c if c == " " else next(chars) for c in mention)
     if kind == "email":
         return "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new))
+    upper = mention.isupper() and len(mention) > 1
     if kind == "surname":
-        new += SURNAME_ENDS[script_of(mention)][gender == "f"]
-    if kind in ("given", "surname") and mention.isupper() and len(mention) > 1:
-        return new.upper()
-    return new
+        form = form_of(mention.capitalize() if upper else mention)
+        if form[2] if form else gender == "f":
+            ends = next(((m, w) for m, w in (*FORMS, *SURNAME_ENDS.values()) if new.endswith(m)), ("", ""))
+            new = new[: len(new) - len(ends[0])] + ends[1]
+    return new.upper() if upper and kind in ("given", "forename", "surname") else new
 
 
 class Replacer:
@@ -384,7 +491,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
         replacer = Replacer(key, spread.value)
-        real = batch.column("_text").to_pylist()
+        real = batch.column("_text").to_pylist()  # a null stays one
         own = [{(o["kind"], o["entity"]): o["tweak"] for o in x or ()} for x in batch.column("_own").to_pylist()]
         made = [(None, []) if t is None else replacer.rewrite(t, o) for t, o in zip(real, own)]
         return {
@@ -398,17 +505,17 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
 
 
 def _with_own_tweaks(text: DataFrame, moved: DataFrame) -> DataFrame:
-    """The exceptions that a document needs, brought to it by joins."""
+    """The exceptions that a row needs, brought to it by joins on a number that the row is written with."""
+    text = staged(text.withColumn("_row", F.monotonically_increasing_id()), "op1-rows")
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> dict:
-        rows = [(i, n) for i, t in zip(batch.column("_id").to_pylist(), texts) for n in {(k, canonical(k, t[s:e], g)) for s, e, k, g in find_entities(t)}]
+        rows = [(i, n) for i, t in zip(batch.column("_row").to_pylist(), texts) for n in {(k, canonical(k, t[s:e], g)) for s, e, k, g in find_entities(t)}]
         return {
-            "_id": pa.array([i for i, _ in rows], batch.column("_id").type),
+            "_row": pa.array([i for i, _ in rows], pa.int64()),
             "kind": pa.array([k for _, (k, _) in rows], pa.string()),
             "entity": pa.array([n for _, (_, n) in rows], pa.string()),
         }
 
-    kind = dict(text.dtypes)["_id"]
-    mentions = map_texts(text, "_text", f"_id {kind}, kind string, entity string", work)
-    own = mentions.join(moved, ["kind", "entity"]).groupBy("_id").agg(F.collect_set(F.struct("kind", "entity", "tweak")).alias("_own"))
-    return text.join(own, "_id", "left")
+    mentions = map_texts(text.select("_row", "_text"), "_text", "_row long, kind string, entity string", work)
+    own = mentions.join(moved, ["kind", "entity"]).groupBy("_row").agg(F.collect_set(F.struct("kind", "entity", "tweak")).alias("_own"))
+    return text.join(own, "_row", "left").drop("_row")
