@@ -17,12 +17,19 @@ padded to aligned columns, with spans counted.
 
 A null or empty page gives an empty text.  Malformed markup never fails: an
 unclosed tag is text, an unmatched end tag is ignored, an unclosed comment or
-script runs to the end.  Repeated rows are repeated in the result.
+script runs to the end.  Tags and attributes may be of any length.  Spans of
+cells have the bounds that the HTML standard sets (1000 across, 65534 down), and
+elements nest as deep as in browsers (DEPTH), deeper ones becoming siblings, so
+no text is lost.  Work grows with the length of a page, and with the rows of a
+table times the spans that reach into them.  Repeated rows are repeated in the
+result; an empty table gives no rows; ids are integers; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -61,12 +68,17 @@ IMPLIED = {
 }
 #: Elements whose start inside an open head ends the head.
 IN_HEAD = frozenset("title meta link script style template noscript base".split())
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,4096})>|<!--|<[!?][^>]*>")
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+#: What matters inside a tag: its end, or a quoted value.
+_EVENT = re.compile(r">|=[ \t\n\r\f]*([\"'])")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Elements nest so deep at most; deeper ones become siblings.
-DEPTH = 256
+#: Elements nest so deep at most; deeper ones become siblings.  Browsers have the same limit.
+DEPTH = 512
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEPTH))
+#: The largest spans of the HTML standard.
+MOST_ACROSS, MOST_DOWN = 1000, 65534
 
 
 class Node:
@@ -83,49 +95,101 @@ class Node:
         )
 
 
+class _TagEnds:
+    """Where tags end: at a ``>`` that isn't in a quoted value.
+
+    A search that comes to the page's end without finding one tells that any other search that meets one of its
+    events fails as well, so each event is passed in vain once.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.failing: set[int] = set()
+        self.since, self.event = len(page) + 1, None  # the event that follows every place from here on to its start
+
+    def _next(self, at: int) -> re.Match | None:
+        known = self.since <= at and (self.event is None or at <= self.event.start())
+        if not known:
+            self.since, self.event = at, _EVENT.search(self.page, at)
+        return self.event
+
+    def find(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; -1 if nothing does."""
+        passed = []
+        while True:
+            event = self._next(at)
+            if event is None or event.start() in self.failing:
+                break
+            if event[1] is None:
+                return event.start()
+            passed.append(event.start())
+            close = self.page.find(event[1], event.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.failing.update(passed)
+        return -1
+
+
 def parse(page: str) -> Node:
     """The element tree of a page."""
     root = Node("#root", {})
     stack = [root]
+    opened: Counter[str] = Counter()  # tags on the stack
     at, size = 0, len(page)
+    ends = _TagEnds(page)
     drawings = _DRAWING.search(page) is not None
 
     def text(piece: str) -> None:
         if piece:
             top = stack[-1]
             if top.tag == "head" and piece.strip():
-                stack.pop()
+                cut(len(stack) - 1)
             elif top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not piece.strip():
                 return
             stack[-1].children.append(unescape(piece) if "&" in piece else piece)
 
+    def cut(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     def close_until(tags: frozenset, limits: frozenset) -> None:
-        cut = None
+        if not any(opened[t] for t in tags):
+            return
+        found = None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in limits:
                 break
             if stack[k].tag in tags:
-                cut = k
-        if cut is not None:
-            del stack[cut:]
+                found = k
+        if found is not None:
+            cut(found)
 
+    begin = 0  # text from here on isn't in the tree yet
     while at < size:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
-            text(page[at:])
             break
-        text(page[at : m.start()])
+        if m[2] is not None:
+            end = ends.find(m.end())
+        elif m[0] == "<!--":
+            end = page.find("-->", m.end())
+            end = size if end < 0 else end + 2
+        else:
+            end = page.find(">", m.end())
         at = m.end()
+        if end < 0:  # no tag: text
+            continue
+        text(page[begin : m.start()])
+        raw = page[at:end]
+        at = begin = end + 1
         if m[2] is None:
-            if m[0] == "<!--":
-                end = page.find("-->", at)
-                at = size if end < 0 else end + 3
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
@@ -135,21 +199,20 @@ def parse(page: str) -> Node:
                 elif tag == "p":
                     stack[-1].children.append(Node("p", {}))
             continue
-        raw = m[3]
         attrs = {}
         if raw and not raw.isspace():
             for a in _ATTR.finditer(raw):
                 value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""
                 attrs.setdefault(a[1].lower(), unescape(value) if "&" in value else value)
         if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in IMPLIED:
             close_until(*IMPLIED[tag])
         elif tag in ENDS_P:
             close_until(frozenset(["p"]), frozenset(["td", "th", "table", "li", "button"]))
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        drawn = drawings and (tag in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack))
+        drawn = drawings and (tag in ("svg", "math") or opened["svg"] + opened["math"] > 0)
         node.hidden = node.hidden or drawn and tag in UNDRAWN
         if tag in VOID or raw.endswith("/") and (drawn or tag == "path"):
             continue
@@ -159,9 +222,11 @@ def parse(page: str) -> Node:
             if tag not in ("script", "style") and body:
                 node.children.append(unescape(body))
             close = page.find(">", end.start()) if end else -1
-            at = size if close < 0 else close + 1
+            at = begin = size if close < 0 else close + 1
         elif len(stack) < DEPTH:
             stack.append(node)
+            opened[tag] += 1
+    text(page[begin:])
     return root
 
 
@@ -251,9 +316,11 @@ def _rows(node: Node) -> list[Node]:
     return out
 
 
-def _span(cell: Node, name: str) -> int:
-    value = cell.attrs.get(name, "")
-    return min(int(value), 100) if re.fullmatch(r"[1-9]\d{0,8}", value) else 1
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "").strip()
+    if name == "rowspan" and re.fullmatch("0+", value):
+        return most  # to the end of the table
+    return min(int(value[:9]), most) if re.fullmatch(r"0*[1-9]\d*", value) else 1
 
 
 def _table(node: Node, out: _Writer, depth: int) -> None:
@@ -269,11 +336,13 @@ def _table(node: Node, out: _Writer, depth: int) -> None:
                     _render(g, out, depth)
                     out.newline()
     grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    reaching: list[tuple[int, int, int]] = []  # (first column, column after the last, last row) of what spans rows
     widths: dict[int, int] = {}
     for r, row in enumerate(rows):
         cells: dict[int, list[str]] = {}
-        k = 0
+        reaching = [x for x in reaching if x[2] >= r]
+        fresh: list[tuple[int, int, int]] = []
+        k = passed = 0
         for c in row.children:
             if isinstance(c, str):
                 if not c.strip():
@@ -282,30 +351,35 @@ def _table(node: Node, out: _Writer, depth: int) -> None:
                 c.children.append(loose)
             if c.hidden:
                 continue
-            while (r, k) in taken:
-                k += 1
+            while passed < len(reaching) and reaching[passed][0] <= k:
+                k = max(k, reaching[passed][1])
+                passed += 1
             inner = _Writer()
             for x in c.children if c.tag in ("td", "th") else [c]:
                 _render(x, inner, depth)
             lines = inner.text().split("\n")
             cells[k] = lines
-            across = _span(c, "colspan")
-            for down in range(_span(c, "rowspan") if r + 1 < len(rows) else 1):
-                for a in range(across):
-                    taken[r + down, k + a] = True
-            if across == 1:
-                widths[k] = max(widths.get(k, 0), max(map(len, lines)))
+            across, last = _span(c, "colspan", MOST_ACROSS), min(r + _span(c, "rowspan", MOST_DOWN), len(rows)) - 1
+            if last > r and fresh and fresh[-1][1:] == (k, last):
+                fresh[-1] = (fresh[-1][0], k + across, last)
+            elif last > r:
+                fresh.append((k, k + across, last))
+            widths[k] = max(widths.get(k, 0), max(map(len, lines)) if across == 1 else 0)
             k += across
+        reaching = sorted(reaching + fresh)
         grid.append(cells)
+    # only columns in which a cell starts take room
+    starts, lefts, left = sorted(widths), {}, 0
+    for k in starts:
+        lefts[k] = left
+        left += widths[k] + 3
     for cells in grid:
         for n in range(max((len(v) for v in cells.values()), default=0)):
             line, place = "", 0
-            for k in sorted(cells):
-                left = sum(widths.get(j, 0) + 3 for j in range(k))
-                piece = cells[k][n] if n < len(cells[k]) else ""
+            for k, lines in cells.items():
                 if k:
-                    line = line.ljust(max(left - 3, place)) + " | "
-                line += piece
+                    line = line.ljust(max(lefts[k] - 3, place)) + " | "
+                line += lines[n] if n < len(lines) else ""
                 place = len(line)
             out.newline()
             out.line.append(line)
