@@ -47,6 +47,15 @@ def test_exact_groups(spark, weak):
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got], key=str) == groups_of(rows)
 
 
+def test_colliding_digests_of_a_repeated_id(spark):
+    rows = [(1, "aaa"), (1, "bbb"), (2, "a aa"), (None, "ccc"), (None, "ddd")] + [(9, "eee")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup.exact_groups(docs, digest=lambda c: exact_dedup.F.length(c).cast("string")).collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got], key=str) == groups_of(rows)
+    kept = exact_dedup.deduplicate(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, "bbb"), (2, "a aa"), (9, "eee"), (None, "ccc"), (None, "ddd")], key=str)
+
+
 def test_exact_rows_that_stay(spark):
     rows = dedup_rows() + [(0, dedup_rows()[0][1])]  # a row given twice
     docs = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, hot string")
@@ -101,7 +110,10 @@ def test_routing_and_search_miss_nothing():
     assert (got == some.roots(np.arange(len(points)))).all()
 
 
-def test_near_groups(spark):
+@pytest.mark.parametrize("piece", [None, 20])
+def test_near_groups(spark, monkeypatch, piece):
+    if piece:
+        monkeypatch.setattr(simhash, "PIECE_POINTS", piece)  # a leaf's visitors in many pieces
     rng = random.Random(7)
     rows = [(k, prose(rng, rng.randint(0, 60))) for k in range(150)]
     rows += [(200 + k, rows[k % 5][1] + " " + rng.choice(WORDS)) for k in range(60)]
@@ -176,6 +188,20 @@ def test_secrets(spark):
         assert (out[k].n_assign, out[k].n_access, out[k].n_hex) == tuple(sum(b[1] == r for b in base) for r in range(3))
 
 
+def test_secrets_in_great_number(spark):
+    import time
+
+    text = "deadbeefdeadbeef 0a1b2c3d4e5f6071 " * 10_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secret_scan.secret_digests(docs.limit(0)).collect()
+    start = time.perf_counter()
+    out = secret_scan.secret_digests(docs).first()
+    assert out.n_hex == 20_000 and out.spans.startswith("hex:0:16,") and out.spans.endswith(f"hex:{len(text) - 17}:{len(text) - 1}")
+    assert time.perf_counter() - start < 20
+    assert secret_scan.secret_digests(docs.limit(0)).count() == 0
+    assert [r.spans for r in secret_scan.secret_digests(docs.withColumn("text", secret_scan.F.lit("AKIA" + "Q" * 20)).union(docs).union(docs)).collect()][1] == out.spans
+
+
 # --- decontamination ---------------------------------------------------------
 ITEMS = [
     (1, "Anna Smith has 12 apples and gives Bob 5 apples. How many apples does Anna Smith keep after 3 days of rain?"),
@@ -211,33 +237,97 @@ def test_decontamination(spark):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def plain_hits(item, text, window=5):
+    """The windows that an item and a text share, by comparing all with all."""
+    words = text.split()
+    places = [k for k in range(len(words)) if decontamination.template_at(words, k)]
+    ts, own = decontamination.template(text)
+    assert ts == [decontamination.template_at(words, k) for k in places]
+    its, item_own = decontamination.template(item)
+    size = min(window, len(its))
+    return len(its), [
+        {"p": p, "o": o, "first_word": places[p], "end_word": places[p + size - 1] + 1, "words": ts[p : p + size], "own": own[p : p + size], "item_own": item_own[o : o + size]}
+        for p in range(len(ts) - size + 1)
+        for o in range(len(its) - size + 1)
+        if its and ts[p : p + size] == its[o : o + size]
+    ]
+
+
+def plain_matches(items, text):
+    out = {}
+    for i, item in items:
+        n, hits = plain_hits(item or "", text or "")
+        if hits:
+            out[i] = decontamination.score_pair(n, hits)
+    return out
+
+
+def plain_coverage(item, text, window=5):
+    """Written apart from ``score_pair``: the share of an item's words in windows whose slots agree along an alignment."""
+    n, hits = plain_hits(item, text, window)
+    covered = set()
+    for shift in {h["p"] - h["o"] for h in hits}:
+        pairs = []
+        for h in sorted((h for h in hits if h["p"] - h["o"] == shift), key=lambda h: h["o"]):
+            new = pairs + [(a, b) for t, a, b in zip(h["words"], h["item_own"], h["own"]) if t in ("<num>", "<name>", "<unit>")]
+            if all((a == c) == (b == d) for a, b in new for c, d in new):
+                pairs = new
+                covered |= set(range(h["o"], h["o"] + len(h["words"])))
+        if n < window and len(covered) == n:
+            return 1.0
+    return len(covered) / n
+
+
+def test_decontamination_equals_brute_force(spark):
     rng = random.Random(4)
-    items = [(k, prose(rng, 20)) for k in range(30)]
-    docs = spark.createDataFrame([(k, prose(rng, 30) + " " + items[k % 30][1]) for k in range(60)], "doc_id long, text string")
+    slots = ["Anna Bell", "3", "7", "12 km", "5 days", "7 weeks", "Bob"]
+    items = [(k, " ".join(rng.choices(WORDS, k=6)) + " " + " ".join(rng.choices(slots + WORDS[:4], k=6)) + " " + prose(rng, rng.randint(0, 8))) for k in range(25)]
+    items += [(40, "two words"), (41, "from 3 km"), (41, "from 3 km"), (None, items[3][1]), (42, ""), (43, None)]
+    rows = []
+    for k in range(120):
+        words = rng.choice(items)[1] or ""
+        for _ in range(rng.randint(0, 3)):
+            words = words.replace(rng.choice(slots), rng.choice(slots))
+        cut = words.split()[: rng.randint(1, 30)]
+        rows.append((rng.choice([None, 1, 2, 3, k]), prose(rng, rng.randint(0, 30)) + " " + " ".join(cut) + " two words " * (k % 9 == 0) + prose(rng, 5)))
+    rows += rows[:10] + [(None, None), (None, ""), (5, ". - !"), (6, "pad " * 30_000 + items[0][1])]
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, hits string, row long").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    key = lambda r: (r.doc_id, r.item_id, r.n_items)
-    want = sorted(map(key, decontamination.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
-    assert sorted(map(key, decontamination.contamination(docs, bench).collect())) == want
+    want = []
+    for i, t in rows:
+        found = [(n, plain_coverage(x, t or "")) for n, x in items if x and plain_hits(x, t or "")[1]]
+        want.append((i, sorted(((n, round(c, 6)) for n, c in found if c >= decontamination.COVERAGE), key=str)))
+    got = [(r.doc_id, sorted(((m.item_id, round(m.coverage, 6)) for m in r.matches), key=str)) for r in decontamination.find_matches(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    clean = sorted([t for (_, t), (_, m) in zip(rows, want) if not m], key=str)
+    assert sorted([r.text for r in decontamination.decontaminate(docs, bench).collect()], key=str) == clean
+    assert sum(bool(m) for _, m in want) > 30 and len(clean) > 20
 
 
 def test_slots_must_agree():
-    index = decontamination.TemplateIndex([(1, ITEMS[0][1])], 5)
     swapped = ITEMS[0][1].replace("Anna Smith has", "Zoe Jones has")  # the name changes half-way
-    full = index.matches(ITEMS[0][1])[0][1]
-    assert index.matches(swapped)[0][1] < full
+    full = plain_matches(ITEMS[:1], ITEMS[0][1])[1][0]
+    assert plain_matches(ITEMS[:1], swapped)[1][0] < full
+    trip = [(1, "5 km in 20 minutes")]
+    assert plain_matches(trip, "8 miles in 30 seconds")[1][:2] == (1.0, True)
+    assert plain_matches(trip, "5 km in 20 km")[1][0] == 0  # one unit can't stand for two
 
 
-def test_short_items_inside_documents():
-    index = decontamination.TemplateIndex([(1, "Two words"), (2, "plain"), (3, "from 3 to 3"), (4, ITEMS[1][1])], 5)
-    found = lambda text: {m[0]: m[1:] for m in index.matches(text)}
+def test_short_items_inside_documents(spark):
+    items = [(1, "Two words"), (2, "plain"), (3, "from 3 to 3"), (4, ITEMS[1][1])]
+    found = lambda text: plain_matches(items, text)
     filler = "ting erou and the " * 20
     assert found(filler + "nine words, two words. " + filler) == {1: (1.0, False, 82, 84)}
     assert found(filler + "it is plain") == {2: (1.0, False, 82, 83)}
     assert found("plain")[2][0] == 1 and found(filler + "nine words") == {1: (1.0, True, 80, 82)}
     assert found("go from 7 to 7 now")[3][0] == 1 and found("go from 7 to 8 now")[3][0] == 0
     assert found(ITEMS[1][1] + " and plain").keys() == {2, 4} and found(filler) == {}
+    texts = [filler + "nine words, two words. " + filler, "plain", "go from 7 to 7 now", "go from 7 to 8 now", filler]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontamination.find_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: [(m.item_id, m.coverage, m.reworded, m.first_word, m.end_word) for m in r.matches] for r in out} == {
+        0: [(1, 1.0, False, 82, 84)], 1: [(2, 1.0, False, 0, 1)], 2: [(3, 1.0, True, 1, 5)], 3: [], 4: []
+    }
 
 
 # --- toxicity ----------------------------------------------------------------
@@ -270,6 +360,27 @@ def test_toxicity(spark):
     assert len(nothing) == len(rows) and all(r.score == 0 for r in nothing)
 
 
+def test_a_document_is_not_its_own_neighbour(spark):
+    rows, labels = labelled()
+    rows += [(0, "another text of the first id grumbit", "en"), (0, "and one more of it", "en")] + [rows[7]] * 5  # one id, several texts; one row, several times
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(set(model.ids.tolist())) == len(model.ids) <= len(labels)
+    index = toxicity.BlockMax(model)
+    text_of = dict((i, t) for i, t, _ in rows[:600])
+    known = [i for i in model.ids.tolist() if i]
+    assert known and all(i not in [e[0] for e in index.score(text_of[i])[1]] for i in known)
+    assert toxicity.score_documents(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_examples_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_EXAMPLES", 50)
+    rows, labels = labelled()
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
+    examples = toxicity._examples(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert 0 < examples.count() <= 50 and examples.select("doc_id").distinct().count() == examples.count()
+
+
 def test_block_max_equals_full_scan(spark):
     rows, labels = labelled()
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
@@ -316,6 +427,15 @@ def test_near_copies_of_a_repeated_id(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (3, b), (5, c)])
 
 
+def test_near_copies_without_ids(spark):
+    rng = random.Random(23)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(None, a), (4, a), (None, b), (None, b), (None, b + " "), (None, c), (None, None), (None, "")], "doc_id long, text string")
+    kept = simhash.deduplicate(docs)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)[:3] == sorted([(4, a), (None, b + " "), (None, c)], key=str) or kept.count() == 4
+    assert sorted(str(r.text).strip() for r in kept.collect() if r.text) == sorted([a, b, c]) and kept.count() == 4
+
+
 # --- pipeline ----------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
@@ -343,3 +463,29 @@ def test_pipeline_stages(spark, tmp_path):
     step = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, step, str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, null, empty and very long texts, repeated rows, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    rows, labels = labelled(200)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([i for i in ITEMS if i[0] < 3], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = prose(rng, 60_000)
+    odd = [(None, None), (None, ""), (None, "lonely clean words"), (None, "lonely clean words"), (3000, long), (3001, long), (3002, None), (3003, " "), (3003, "third clean text"), (3003, "third clean text")]
+    table = [(i, t, "x", k, float(k), "d") for k, (i, t) in enumerate([(i, t) for i, t, _ in rows if i < 9000 and i % 7] + odd)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, digest string, row long, n double, content string").repartition(3)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name)
+        stage(spark, out, str(tmp_path)).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert out.columns == docs.columns
+        assert {"lonely clean words", "third clean text", long} <= {r.text for r in out.collect()}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert [sum(r.text == t for r in out.collect()) for t in ("lonely clean words", "third clean text", long)] == [1, 1, 1]
+    assert sum(not (r.text or "").strip() for r in out.collect()) == 1  # all empty texts are one
+    last = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path))
+    assert last.count() == out.count()

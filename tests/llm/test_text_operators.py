@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import Row
 
 from cinderspark.llm import bpe_codec, html_render, pii_surrogates, token_counts, token_files
 from cinderspark.llm.encoder import Encoder, Generations
-from cinderspark.llm.rank_bpe import RankBpe, load
+from cinderspark.llm.rank_bpe import RankBpe
 
 tokenizers = pytest.importorskip("tokenizers")
 vocabularies = pytest.importorskip("public_tokenizers")
@@ -40,7 +41,7 @@ def test_encoder_equals_library(name):
 
 
 def test_matrix_and_heap_merge_alike():
-    bpe: RankBpe = load(vocabularies.path("byte_bpe_50k.json"))
+    bpe = RankBpe(vocabularies.path("byte_bpe_50k.json"))
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdeinorst", k=rng.randint(1, 40))).encode() for _ in range(400)]
     for word, ids in zip(words, bpe.encode_words(words)):
@@ -48,6 +49,33 @@ def test_matrix_and_heap_merge_alike():
         assert bpe.decode(np.frombuffer(ids, "<u4")) == word
 
 
+def test_long_words_and_other_schemes(tmp_path):
+    import json
+    import time
+
+    path = vocabularies.path("byte_bpe_50k.json")
+    library, ours = tokenizers.Tokenizer.from_file(path), Encoder(path)
+    word = "".join(random.Random(8).choices(string.ascii_letters, k=200_000))
+    start = time.perf_counter()
+    ids = ours.encode([word])[0]
+    assert time.perf_counter() - start < 5
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    spec = json.load(open(path))
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        Encoder(str(tmp_path / "other.json"))
+
+
+def test_workers_keep_one_state():
+    from cinderspark.llm import worker
+
+    first = worker.kept(("a", 1), list)
+    assert worker.kept(("a", 1), list) is first
+    second = worker.kept(("b", 1), list)
+    assert second is not first and worker.kept(("a", 1), list) is not first and len(worker._kept) == 1
+
+
 def test_codec_round_trip(spark):
     texts = fuzz(200)
     rows = list(enumerate(texts)) + [(900, None), (901, "twice"), (901, "twice"), (None, "no id")]
@@ -67,7 +95,7 @@ def test_codec_round_trip(spark):
 
 def test_token_counts(spark):
     library = tokenizers.Tokenizer.from_file(vocabularies.path("word_bpe_49k.json"))
-    rows = list(enumerate(fuzz(300))) + [(900, None), (900, None), (None, "x y")]
+    rows = list(enumerate(fuzz(300))) + [(900, None), (900, None), (None, "x y"), (901, "q" * 70_000 + " " + "Zz9" * 500), (902, "w" * 65 + " " + "w" * 64)]
     out = token_counts.count_tokens(documents(spark, rows), vocabularies.path("word_bpe_49k.json"), limit=5).collect()
     assert len(out) == len(rows)
     want = {i: t or "" for i, t in rows}
@@ -95,6 +123,29 @@ def test_token_files(spark, tmp_path):
     assert checks.count() == 0
 
 
+def test_token_files_ties_and_split_ranges(spark, tmp_path):
+    library = tokenizers.Tokenizer.from_file(vocabularies.path("word_bpe_49k.json"))
+    rows = [(5, f"text {k % 9}") for k in range(400)] + [(k, "other") for k in range(40)] + [(None, "none"), (None, None)] + [(7, "same words")] * 300
+    read = []
+    for name, most in (("whole", "0"), ("split", "37")):
+        path = str(tmp_path / name)
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+        try:
+            token_files.write_token_files(documents(spark, rows).repartition(5), path, vocabularies.path("word_bpe_49k.json"))
+        finally:
+            spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        got = sorted((r.start, r.doc_id, r.n_tokens, tuple(r.ids)) for r in token_files.read_token_files(spark, path).collect())
+        start = 0
+        for s, i, n, ids in got:
+            assert s == start and n == len(ids) and ids[-1] == 2
+            start += n
+        assert [i for _, i, _, _ in got] == [None, None] + sorted(i for i, _ in rows if i is not None)
+        read.append([x[1:] for x in got])
+    assert read[0] == read[1]  # rows that share an id have an order of their own
+    want = sorted((i is not None, i or 0, tuple(library.encode(t or "", add_special_tokens=False).ids + [2])) for i, t in rows)
+    assert sorted((i is not None, i or 0, ids) for i, _, ids in read[0]) == want
+
+
 def test_html():
     page = """<title>no</title><p>One<p>Two &amp; three<ul><li>a<li>b<ol start=3><li>x</li><li>y</ol><li>c</ul>tail <b>bold</b>
     <pre>  keep
@@ -114,6 +165,71 @@ def test_html_formulas_and_drawings():
     assert html_render.render(page) == "so x=2 holds left right arm after instead kept"
 
 
+def plain_text(page):
+    """Visible words of well-formed markup, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    words, hidden = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("br", "hr", "img"):
+                hidden.append(tag in ("script", "style", "title") or "hidden" in dict(attrs) or bool(hidden) and hidden[-1])
+
+        def handle_endtag(self, tag):
+            hidden.pop()
+
+        def handle_data(self, data):
+            if not (hidden and hidden[-1]):
+                words.extend(data.split())
+
+    Reader().feed(page)
+    return words
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["p", "div", "b", "ul", "table", "text", "text", "hidden", "script", "br", "pre", "blockquote", "dl"] if depth < 5 else ["text"])
+        inner = random_page(rng, depth + 1) if kind not in ("text", "br", "script") else ""
+        out.append(
+            {
+                "text": f" w{rng.randint(0, 999)} &amp; v{rng.randint(0, 99)} ",
+                "br": "<br>",
+                "script": "<script>if (a < b) hidden</script>",
+                "hidden": f'<div hidden data-x="{"q" * rng.choice([1, 6000])}">{inner}</div>',
+                "p": f"<p title='a>b'> one two </p>{inner}",
+                "b": f"<b class=x{'y' * rng.choice([1, 5000])}> bold </b>{inner}",
+                "ul": f"<ul><li>{inner}</li><li> item </li></ul>",
+                "dl": f"<dl><dt> t </dt><dd>{inner}</dd></dl>",
+                "table": f"<table><tr><td rowspan={rng.randint(1, 200)}>{inner}</td><td colspan={rng.randint(1, 2000)}> c1 </td></tr><tr><td> c2 </td></tr></table>",
+            }.get(kind, f"<{kind}>{inner}</{kind}>")
+        )
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_html_shows_all_visible_words(seed):
+    page = random_page(random.Random(seed))
+    shown = [w for w in html_render.render(page).split() if w not in ("|", "-")]
+    assert sorted(shown) == sorted(plain_text(page))
+    if "table" not in page:  # rows of cells side by side change the order of lines
+        assert shown == plain_text(page)
+
+
+def test_html_is_linear():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<a " * 20_000, '<a x="' * 20_001, "<a x='y' " * 20_000, "<!" * 50_000, "<div>" * 50_000 + "x", "<p><b>" * 20_000, "</x>" * 50_000,
+                 "<table>" + "<tr>" + "<td rowspan=100 colspan=100>x" * 300 + "</table>", "<table>" + "<tr><td rowspan=9999>x" * 3000 + "</table>"):
+        html_render.render(page)
+    assert time.perf_counter() - start < 15
+    assert html_render.render(f"<p title={'x' * 5000}>shown") == "shown"
+    spans = html_render.render("<table><tr><td rowspan=2>A<td colspan=2>B<tr><td>c<td>dd<tr><td>e<td>f<td>g</table>")
+    assert spans.split("\n") == ["A | B", "  | c | dd", "e | f | g"]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<a", "<!--", "<script>", "</p></td>", "<table><tr>", "<div>" * 2000 + "x", "<li>" * 500, '<a href="', "&#x0;&bogus;"])
 def test_html_malformed(page):
     html_render.render(page)
@@ -123,6 +239,7 @@ def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b", "x"), (2, None, "y"), (2, "", "y")], "page_id long, html string, text string")
     out = sorted((r.page_id, r.text, r.n_chars, r.n_lines) for r in html_render.render_pages(pages).collect())
     assert out == [(1, "a\n\nb", 4, 3), (2, "", 0, 0), (2, "", 0, 0)]
+    assert html_render.render_pages(pages.limit(0)).count() == 0
 
 
 KEY = b"test key"
@@ -182,6 +299,77 @@ def test_surrogate_exceptions_by_join(spark, monkeypatch):
     assert {r.doc_id: r.text for r in pii_surrogates.replace_entities(docs, KEY).collect()} == want
 
 
+@pytest.mark.parametrize("most", [pii_surrogates.MOST_BROADCAST, 0])
+def test_surrogates_equal_brute_force(spark, monkeypatch, most):
+    """Null and repeated ids, repeated rows, clashing columns, a very long text; on either side of the broadcast's bound."""
+    monkeypatch.setattr(pii_surrogates, "MOST_BROADCAST", most)
+    first = pii_surrogates.surrogate("national", "123456789", KEY)
+    real = f"{first[:3]}-{first[3:5]}-{first[5:]}"
+    rng = random.Random(6)
+    bits = ["no 123-45-6789 here", f"no {real} here", "Mr. John Miller met Anna Petrova", "ask Bob.Smith@mail7.example.com", "call +1 (980) 555-6268.", "plain words", "Dear Priya Raghunathan"]
+    rows = [(rng.choice([None, 1, 2, k]), "; ".join(rng.choices(bits, k=rng.randint(1, 5)))) for k in range(60)]
+    rows += [(None, bits[0]), (None, bits[1]), (None, None), (7, ""), (8, "pad " * 50_000 + bits[0])] + [(9, bits[0])] * 3
+    docs = spark.createDataFrame([(i, t, "e", "k", 1) for i, t in rows], "doc_id long, text string, entities string, kind string, _id int").repartition(4)
+    # brute force: every entity of every text; the tweak of each raised until its surrogate is no entity and nobody else's
+    known = sorted({(k, pii_surrogates.canonical(k, t[s:e], g)) for _, t in rows if t for s, e, k, g in pii_surrogates.find_entities(t)})
+    tweak = dict.fromkeys(known, 0)
+    while True:
+        made = {n: pii_surrogates.surrogate(*n, KEY, w) for n, w in tweak.items()}
+        owners = {}
+        for n in known:
+            owners.setdefault((n[0], made[n]), []).append(n)
+        bad = [n for n in known if n[0] != "given" and ((n[0], made[n]) in tweak or owners[n[0], made[n]][0] != n)]
+        if not bad:
+            break
+        for n in bad:
+            tweak[n] += 1
+    assert any(tweak.values())
+
+    def rewritten(text):
+        if text is None:
+            return None
+        out, at = "", 0
+        for s, e, kind, gender in pii_surrogates.find_entities(text):
+            mention = text[s:e]
+            out += text[at:s] + pii_surrogates.render(kind, mention, made[kind, pii_surrogates.canonical(kind, mention, gender)], gender)
+            at = e
+        return out + text[at:]
+
+    got = pii_surrogates.replace_entities(docs, KEY).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((i, rewritten(t)) for i, t in rows), key=str)
+    assert not any(real in (r.text or "") and "123-45-6789" in (r.text or "") for r in got)
+    assert pii_surrogates.replace_entities(docs.limit(0), KEY).count() == 0
+
+
+PEOPLE = ["Priya Raghunathan", "Wei Zhang", "Kwame Mensah", "Oluwaseun Adeyemi", "Nguyen Thi Hoa", "Aoife Brennan", "Yusuf Demir", "Ingeborg Haraldsen", "Mateusz Kowalczyk", "Siobhan Gallagher"]
+FRAMES = ["Yesterday {} met the committee.", "I was told that {} wrote the letter.", "My name is {}.", "Dear {}, thank you.", "Dr {} agreed.", "the author {} spoke.", "She met {} and {} there.", "Mrs. {} left.", "Hier {} habite Lyon.", "Gestern traf {} ein."]
+
+
+def test_names_beyond_the_lists():
+    found = total = 0
+    for k, frame in enumerate(FRAMES):
+        for j, person in enumerate(PEOPLE):
+            other = PEOPLE[(j + 1) % len(PEOPLE)]
+            text = frame.format(person, other) if frame.count("{}") == 2 else frame.format(person)
+            spans = [text[s:e] for s, e, kind, _ in pii_surrogates.find_entities(text) if kind in ("given", "forename", "surname")]
+            for name in [person] + [other] * (frame.count("{}") - 1):
+                total += 1
+                found += all(w in spans for w in name.split())
+    assert found / total >= 0.85, found / total
+    for clean in ("The The of Of Of in New York City.", "GNU General Public License said nothing", "On Monday Morning News Report came", "He called The Hague. It Is.", "A Day Like Any"):
+        assert not [k for _, _, k, _ in pii_surrogates.find_entities(clean)], clean
+
+
+def test_scripts_and_forms_of_names():
+    new = lambda text: pii_surrogates.Replacer(KEY, {}).rewrite(text, {})[0]
+    scripts = lambda text: [pii_surrogates.script_of(w) for w in text.split()]
+    for text in ("Dr 王小明", "Dr Иванова", "Frau 김민수", "Prof. Παπαδόπουλος", "Dr דוד", "Mr احمد"):
+        assert scripts(new(text)) == scripts(text) and new(text).split()[1] != text.split()[1]
+    woman, man = new("Dr Иванова").split()[1], new("Dr Иванов").split()[1]
+    assert woman == man + "а" and man.endswith("ов")
+    assert new("Dr Достоевская").endswith("ая") and new("Anna Petrova").endswith("ova") and new("MR PETROV").split()[1].isupper()
+
+
 @pytest.mark.parametrize(
     "text,kinds",
     [
