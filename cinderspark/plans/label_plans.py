@@ -100,11 +100,11 @@ def f13(spark, sf_dir):
     return places(spark, sf_dir).select("name", T.population(F.col("population")).alias("people"))
 
 
-@query("f14_slug", r"SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')), ' ', '_', 'g'), '/', '_', 'g') AS slug FROM (SELECT doc_id, replace(replace(substr(text, 1, 60), 'ß', ''), chr(10), ' ') AS t FROM documents)")
+@query("f14_slug", r"SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')), ' ', '_', 'g'), '/', '_', 'g') AS slug FROM (SELECT doc_id, replace(replace(text, 'ß', ''), chr(10), ' ') AS t FROM documents)")
 def f14(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    head = F.replace(F.replace(F.substring("text", 1, 60), F.lit("ß"), F.lit("")), F.lit("\n"), F.lit(" "))
-    return d.select("doc_id", T.slug(head).alias("slug"))
+    line = F.replace(F.replace("text", F.lit("ß"), F.lit("")), F.lit("\n"), F.lit(" "))
+    return d.select("doc_id", T.slug(line).alias("slug"))
 
 
 @query("f19_html_escape", "SELECT event_id, replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM events")
@@ -258,10 +258,10 @@ def s18(spark, sf_dir):
     return readers.listed_keys(orbits(spark, sf_dir).select(xml.alias("value")))
 
 
-@query("s22_positional_payload", "SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(w) AS word, (unnest(range(1, len(w) + 1)) - 1)::INT AS pos FROM (SELECT doc_id, string_split(substr(replace(text, chr(10), ' '), 1, 40), ' ') AS w FROM documents))")
+@query("s22_positional_payload", "SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(w) AS word, (unnest(range(1, len(w) + 1)) - 1)::INT AS pos FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents))")
 def s22(spark, sf_dir):
-    head = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40)
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(head, " ")).alias("pos", "word"))
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(line, " ")).alias("pos", "word"))
 
 
 @query("s11_feature_collection", "SELECT c_custkey AS id, c_name AS name FROM customer")

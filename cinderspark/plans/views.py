@@ -79,7 +79,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT 'COGT/OFFL/L2/' || strftime(ts, '%Y/%m/%d') || '/S5P_' || event_id || '_' || strftime(ts, '%Y%m%dT%H%M%S') || '_'
                || strftime(ts + INTERVAL 100 MINUTE, '%Y%m%dT%H%M%S') || '_'
                || CASE WHEN user_id % 3 = 0 THEN 'PRODUCT_aerosol_index' ELSE 'PRODUCT_carbonmonoxide' END || '_4326.tif' AS key,
-               ((floor(value)::BIGINT % 100 + 100) % 100)::DOUBLE AS coverage FROM events WHERE event_id % 10 = 0""",
+               ((floor(value)::BIGINT % 100 + 100) % 100)::DOUBLE AS coverage FROM events""",
     ),
     "places": (
         (),
@@ -102,7 +102,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "swaths": (
         ("dense",),
-        """SELECT (y // 40)::INT AS day, y % 40 AS y, x, CASE WHEN (y * 7 + x * 3) % 11 <> 0 THEN v END AS v, label FROM dense WHERE y < 400""",
+        """SELECT (y // 40 % 10)::INT AS day, y // 400 * 40 + y % 40 AS y, x, CASE WHEN (y * 7 + x * 3) % 11 <> 0 THEN v END AS v, label FROM dense""",
     ),
     # features with their window statistics
     "windows": (

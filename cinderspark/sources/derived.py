@@ -128,8 +128,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Object keys that carry a sensing window and a variable, one for every tenth event."""
-    e = read(spark, sf_dir, "events").where(F.col("event_id") % 10 == 0)
+    """Object keys that carry a sensing window and a variable, one for each event."""
+    e = read(spark, sf_dir, "events")
     variable = F.when(F.col("user_id") % 3 == 0, "PRODUCT_aerosol_index").otherwise("PRODUCT_carbonmonoxide")
     stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
     end = F.col("ts") + F.expr("INTERVAL 100 MINUTES")
@@ -181,12 +181,18 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def swaths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geographic fields by date: y, x, date, value (with gaps), for baselines and anomalies."""
-    cells = dense(spark, sf_dir).where("y < 400")
-    day = F.floor(F.col("y") / 40).cast("int")
+    """Geographic fields of ten dates: y, x, date, value (with gaps), for baselines and anomalies.
+
+    Bands of 40 vectors go to the dates in turn, so that every vector is a row of some field and fields grow with the table.
+    """
+    band = F.floor(F.col("y") / 40)
     gap = F.pmod(F.col("y") * 7 + F.col("x") * 3, F.lit(11)) == 0
-    return cells.select(
-        day.alias("day"), (F.col("y") % 40).alias("y"), "x", F.when(~gap, F.col("v")).alias("v"), "label"
+    return dense(spark, sf_dir).select(
+        (band % 10).cast("int").alias("day"),
+        (F.floor(band / 10) * 40 + F.col("y") % 40).alias("y"),
+        "x",
+        F.when(~gap, F.col("v")).alias("v"),
+        "label",
     )
 
 

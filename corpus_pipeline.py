@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cinderspark.llm import bpe_codec, decontamination, exact_dedup, simhash, toxicity
 from cinderspark.llm.queries import vocab
-from cinderspark.llm.runtime import staged, table
+from cinderspark.llm.runtime import table
+from cinderspark.scratch import release, scratch_path, staged_paths
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again by the next."""
+    """All stages over ``documents``, each written and read again by the next.
+
+    What a stage has staged for itself is deleted when its result is written, and so is its input.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = staged_paths(spark)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        path = scratch_path(spark, f"pipeline-{name}")
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        release(spark, [*before, path])
     return STAGES[-1][1](spark, docs, sf_dir)
