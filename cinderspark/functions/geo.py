@@ -76,6 +76,28 @@ def utm_inverse(x: Column, y: Column, zone: Column | int) -> tuple[Column, Colum
     return lon, F.degrees(lat)
 
 
+def utm_forward_sql(source: str, zone: int) -> str:
+    """The forward series as a query over (id, lon, lat)."""
+    e = 2 * sqrt(_N) / (1 + _N)
+    term = lambda f, g: " + ".join(f"{a!r}::DOUBLE * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
+    k = _K0 * _RECT
+    return f"""SELECT id, 500000 + {k!r}::DOUBLE * (eta + {term("cos", "sinh")}) AS x, {k!r}::DOUBLE * (xi + {term("sin", "cosh")}) AS y
+        FROM (SELECT id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta
+        FROM (SELECT id, lam, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS t
+        FROM (SELECT id, radians(lon - {zone * 6 - 183}) AS lam, sin(radians(lat)) AS s FROM {source})))"""
+
+
+def utm_inverse_sql(source: str, zone: int) -> str:
+    """The inverse series as a query over (x, y)."""
+    term = lambda f, g: " + ".join(f"{b!r}::DOUBLE * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, b in enumerate(_BETA, 1))
+    k = _K0 * _RECT
+    lat = " + ".join(f"{d!r}::DOUBLE * sin({2 * j} * chi)" for j, d in enumerate(_DELTA, 1))
+    return f"""SELECT degrees(atan2(sinh(eta0), cos(xi0))) + {zone * 6 - 183} AS lon, degrees(chi + {lat}) AS lat
+        FROM (SELECT xi0, eta0, asin(sin(xi0) / cosh(eta0)) AS chi
+        FROM (SELECT xi - ({term("sin", "cosh")}) AS xi0, eta - ({term("cos", "sinh")}) AS eta0
+        FROM (SELECT y / {k!r}::DOUBLE AS xi, (x - 500000) / {k!r}::DOUBLE AS eta FROM {source})))"""
+
+
 def snapped(west: Column, south: Column, east: Column, north: Column, res: float) -> dict[str, Column]:
     """A projected box widened to whole pixels, and its size in pixels."""
     w, s = F.floor(west / res) * res, F.floor(south / res) * res

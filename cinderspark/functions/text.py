@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,15 +12,34 @@ PLACES = {"city": ("town", 0), "town": ("town", 0), "village": ("village", 2), "
 LANDMARK_RANK = 5
 JUNCTIONS = ("carrefour", "rond-point", "rond point", "croix de", "place de")
 SECTOR_TIERS = ((300, 1), (150, 2), (60, 3), (20, 4))
-#: Letters whose canonical decomposition starts with an ASCII letter, and those letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _ascii_of(c: str) -> str:
+    """What is left of a character in ASCII when it is decomposed, compatibility forms too."""
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+
+
+_FOLDED = {c: _ascii_of(c) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if _ascii_of(c)}
+#: Characters that fold to one ASCII character, and those characters.
+ACCENTED = "".join(c for c, a in _FOLDED.items() if len(a) == 1)
+PLAIN = "".join(a for a in _FOLDED.values() if len(a) == 1)
+#: Characters (of 16 bits) that fold to several.
+_LIGATURES = {c: a for c, a in _FOLDED.items() if len(a) > 1 and ord(c) < 0x10000}
+
+
+def ascii_fold(name: Column) -> Column:
+    """ASCII letters in place of accented and compatibility forms; what has none goes."""
+    several = F.create_map(*[F.lit(v) for pair in _LIGATURES.items() for v in pair])
+    some = "[" + "".join(_LIGATURES) + "]"
+    spelt = F.array_join(F.transform(F.split(name, ""), lambda c: F.when(c.rlike(some), F.try_element_at(several, c)).otherwise(c)), "")
+    whole = F.when(name.rlike(some), spelt).otherwise(name)
+    return F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), "[^\\x00-\\x7F]", "")
 
 
 def slug(name: Column) -> Column:
     """ASCII, lower case, words joined by underscores; letters without an ASCII base go."""
-    ascii_only = F.regexp_replace(F.translate(name, ACCENTED, PLAIN), "[^\\x00-\\x7F]", "")
-    return F.replace(F.regexp_replace(F.trim(F.regexp_replace(F.lower(ascii_only), "\\s+", " ")), " ", "_"), F.lit("/"), F.lit("_"))
+    folded = F.lower(ascii_fold(name))
+    return F.replace(F.regexp_replace(F.trim(F.regexp_replace(folded, "\\s+", " ")), " ", "_"), F.lit("/"), F.lit("_"))
 
 
 def name_key(name: Column) -> Column:

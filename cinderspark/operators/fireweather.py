@@ -13,13 +13,13 @@ from ..shipping import ship
 NOON = 11
 
 
-def rolling_rain(hourly: DataFrame, by: list[str] | None = None, rows: int = 24) -> DataFrame:
-    """``rain24``: the sum over the last ``rows`` rows; a missing hour stretches the window, as it counts rows."""
-    w = Window.partitionBy(*(by or [])).orderBy("ts").rowsBetween(1 - rows, 0)
+def rolling_rain(hourly: DataFrame, by: list[str], rows: int = 24) -> DataFrame:
+    """``rain24``: the sum over a station's last ``rows`` rows (``by`` names it); a missing hour stretches the window, as it counts rows."""
+    w = Window.partitionBy(*by).orderBy("ts").rowsBetween(1 - rows, 0)
     return hourly.withColumn("rain24", F.sum("precip").over(w))
 
 
-def noon_rows(hourly: DataFrame, by: list[str] | None = None) -> DataFrame:
+def noon_rows(hourly: DataFrame, by: list[str]) -> DataFrame:
     """Noon values with the rain of the 24 hours before, taken before the other hours go."""
     return rolling_rain(hourly, by).where(F.hour("ts") == NOON)
 
@@ -55,3 +55,12 @@ def share_below(days: DataFrame, value: str, than: DataFrame) -> DataFrame:
     """Percent of all rows strictly below the one value of ``than``."""
     one = than.select(F.col(value).alias("_v"))
     return days.crossJoin(F.broadcast(one)).agg(F.bround(F.avg((F.col(value) < F.col("_v")).cast("int")) * 100, 2).alias("pct_below"))
+
+
+def season_means(days: DataFrame, date: str, value: str, months: tuple[int, ...] = (6, 7, 8)) -> DataFrame:
+    """(year, mean, rank) of the days in some months: sums of hundredths, divided once, to 2 places; the rank is one more
+    than the years below.  What is ranked is one row a year."""
+    cents = F.sum(F.bround(F.col(value) * 100).cast("long"))
+    season = days.where(F.month(date).isin(*months)).groupBy(F.year(date).alias("year"))
+    means = season.agg(F.bround(cents / F.count(F.lit(1)) / 100, 2).alias("mean"))
+    return means.withColumn("rank", F.rank().over(Window.orderBy("mean")).cast("long"))

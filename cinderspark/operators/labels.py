@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from math import cos, hypot, radians
+from math import cos, radians
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LANDMARK_RANK, is_junction, name_key, place_rank, population, sector_rank
@@ -47,31 +48,46 @@ def first_by_name(labels: DataFrame) -> DataFrame:
     return labels.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def thin(labels: DataFrame, cap: int = 200, apart: float = 700.0, lat0: float = 48.38) -> DataFrame:
-    """Non-landmarks first (best ``cap``), then the landmark farthest from all kept, again and again, while it is
-    ``apart`` metres away.  Each choice depends on the last, so the labels of one map are one group;
+#: Degrees of a map's side.
+SHEET = 2
+
+
+def sheet(lat: Column, lon: Column) -> Column:
+    """The map that a place is on: maps are labelled apart, so their number grows with the area and none is large."""
+    return F.format_string("%d/%d", (F.floor(lat / SHEET) * SHEET).cast("int"), (F.floor(lon / SHEET) * SHEET).cast("int"))
+
+
+def thin(labels: DataFrame, by: str, cap: int = 200, apart: float = 700.0, lat0: float = 48.38) -> DataFrame:
+    """For each map (column ``by``), non-landmarks first (best ``cap``), then the landmark farthest from all kept, again
+    and again, while it is ``apart`` metres away.  Each choice depends on the last, so the labels of a map are one group,
+    of which non-landmarks beyond ``cap`` and, where they fill it, all landmarks are left out before they meet;
     without any label kept, the first landmark starts."""
     ship(labels.sparkSession)
     kx, ky = 111320.0 * cos(radians(lat0)), 111320.0
+    order = ["rank", F.desc("pop"), "name", "lat", "lon"]
+    firm = labels.where("src != 'landmark'").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+    full = firm.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cap).select(by)
+    needed = firm.unionByName(labels.where("src = 'landmark'").join(full, by, "left_anti").select(firm.columns))
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_p=-rows["pop"]).sort_values(["rank", "_p", "name", "lat", "lon"], kind="stable")
-        kept = rows[rows["src"] != "landmark"].head(cap)
-        rest = rows[rows["src"] == "landmark"]
-        chosen = list(kept.index)
-        if not chosen and len(rest):
-            chosen, rest = [rest.index[0]], rest.iloc[1:]
-        at = {i: (rows.at[i, "lon"] * kx, rows.at[i, "lat"] * ky) for i in rows.index}
-        gap = {i: min(hypot(at[i][0] - at[k][0], at[i][1] - at[k][1]) for k in chosen) for i in rest.index} if chosen else {}
-        while len(chosen) < cap and gap:
-            best = max(gap, key=gap.__getitem__)
+    def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(_p=-rows["pop"]).sort_values(["rank", "_p", "name", "lat", "lon"], kind="stable").reset_index(drop=True)
+        at = np.column_stack([rows["lon"] * kx, rows["lat"] * ky])
+        rest = (rows["src"] == "landmark").to_numpy()
+        chosen = np.flatnonzero(~rest).tolist()
+        if not chosen and len(rows):
+            chosen, rest[0] = [0], False
+        gap = np.full(len(rows), np.inf)
+        for k in chosen:
+            gap = np.minimum(gap, np.hypot(*(at - at[k]).T))
+        while len(chosen) < cap and rest.any():
+            best = int(np.where(rest, gap, -1.0).argmax())
             if gap[best] < apart:
                 break
             chosen.append(best)
-            del gap[best]
-            for i in gap:
-                gap[i] = min(gap[i], hypot(at[i][0] - at[best][0], at[i][1] - at[best][1]))
-        out = rows.loc[chosen].sort_values(["rank", "_p", "name", "lat", "lon"], kind="stable")
-        return out.assign(lat=out["lat"].round(5), lon=out["lon"].round(5))[["name", "lat", "lon", "kind", "rank"]]
+            rest[best] = False
+            gap = np.minimum(gap, np.hypot(*(at - at[best]).T))
+        out = rows.loc[sorted(chosen)]
+        return out.assign(lat=out["lat"].round(5), lon=out["lon"].round(5))[[by, "name", "lat", "lon", "kind", "rank"]]
 
-    return labels.groupBy().applyInPandas(pick, "name string, lat double, lon double, kind string, rank int")
+    kind = dict(labels.dtypes)[by]
+    return needed.groupBy(by).applyInPandas(pick, f"{by} {kind}, name string, lat double, lon double, kind string, rank int")

@@ -3,13 +3,13 @@
 A mask is a DataFrame (y, x, m) with one row per cell of a grid.  Rectangular
 elements are separable, so dilation and erosion are two windows, one along rows
 and one along columns; outside the grid everything is False.  Components work
-on runs of cells along a row rather than on cells.
+on runs of cells along a row, cut at the edges of tiles, rather than on cells.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,12 @@ from ..shipping import ship
 from .graph import connected_components
 
 
+#: Columns of a tile: a row of a tile has half as many runs at most.
+TILE = 256
+#: Rows of the grid that a task of the distance transform takes at once.
+BAND = 64
+
+
 def _along(by: str, order: str, k: int):
     return Window.partitionBy(by).orderBy(order).rangeBetween(-k, k)
 
@@ -47,22 +53,30 @@ def box_fraction(mask: DataFrame, size: int) -> DataFrame:
 
 
 def runs(mask: DataFrame) -> DataFrame:
-    """Maximal runs of True cells along rows: run (its first cell, numbered row by row), y, first, last."""
-    islands = mask.where("m").withColumn("g", F.col("x") - F.row_number().over(Window.partitionBy("y").orderBy("x")))
-    out = islands.groupBy("y", "g").agg(F.min("x").alias("first"), F.max("x").alias("last"))
-    return out.select((F.col("y") * F.lit(1 << 31) + F.col("first")).alias("run"), "y", "first", "last")
+    """Maximal runs of True cells along rows within a tile: run (its first cell, numbered row by row), y, tile, first, last."""
+    islands = mask.where("m").withColumn("tile", F.floor(F.col("x") / TILE))
+    islands = islands.withColumn("g", F.col("x") - F.row_number().over(Window.partitionBy("y", "tile").orderBy("x")))
+    out = islands.groupBy("y", "tile", "g").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    return out.select((F.col("y") * F.lit(1 << 31) + F.col("first")).alias("run"), "y", "tile", "first", "last")
 
 
 def label(mask: DataFrame, diagonal: bool = False) -> DataFrame:
-    """(y, x, label) of the True cells; a label is the component's first cell, numbered row by row."""
+    """(y, x, label) of the True cells; a label is the component's first cell, numbered row by row.
+
+    Runs meet those of the next row by (row, tile), and go on across a tile's edge by (row, column).
+    """
     pieces = staged(runs(mask), "runs")
-    a = pieces.select(F.col("run").alias("a"), (F.col("y") + 1).alias("y"), F.col("first").alias("f"), F.col("last").alias("l"))
     d = int(diagonal)
-    touching = a.join(pieces, "y").where((F.col("f") <= F.col("last") + d) & (F.col("first") <= F.col("l") + d))
-    roots = connected_components(touching.select("a", F.col("run").alias("b")), "a", "b", "label-edges")
+    tile = lambda c: F.floor(c / TILE)
+    reach = F.explode(F.array_distinct(F.array(tile(F.col("first") - d), tile(F.col("first")), tile(F.col("last") + d))))
+    above = pieces.select(F.col("run").alias("a"), (F.col("y") + 1).alias("y"), F.col("first").alias("f"), F.col("last").alias("l"), reach.alias("tile"))
+    touching = above.join(pieces, ["y", "tile"]).where((F.col("f") <= F.col("last") + d) & (F.col("first") <= F.col("l") + d))
+    before = pieces.select(F.col("run").alias("a"), "y", (F.col("last") + 1).alias("first")).where(F.col("first") % TILE == 0)
+    onward = before.join(pieces, ["y", "first"])
+    edges = touching.select("a", F.col("run").alias("b")).unionByName(onward.select("a", F.col("run").alias("b")))
+    roots = connected_components(edges, "a", "b", "label-edges")
     joined = pieces.join(roots, pieces.run == roots.node, "left")
-    cells = joined.select("y", F.explode(F.sequence("first", "last")).alias("x"), F.coalesce("root", "run").alias("label"))
-    return cells
+    return joined.select("y", F.explode(F.sequence("first", "last")).alias("x"), F.coalesce("root", "run").alias("label"))
 
 
 def fill_holes(mask: DataFrame) -> DataFrame:
@@ -96,31 +110,65 @@ def footprint(mask: DataFrame, k: int = 3, least: int = 2000) -> DataFrame:
     return keep_large(fill_holes(staged(close(mask, k), "closed")), least)
 
 
+def _lower_envelope(xs: list[int], gs: list[int], at: list[int]) -> list[int]:
+    """For each place of ``at``, ascending, the least (place - x)^2 + g over the parabolas (x, g), x ascending.
+
+    Parabolas that are nowhere lowest are dropped as the next ones come, so the work is linear.
+    """
+    seat = [0]  # parabolas of the envelope
+    begin = [0]  # the first place where each is lowest
+    for k in range(1, len(xs)):
+        while True:
+            j = seat[-1]
+            # k is below j from the first whole place that is not before this one on
+            top = gs[k] + xs[k] * xs[k] - gs[j] - xs[j] * xs[j]
+            start = -(-top // (2 * (xs[k] - xs[j])))
+            if len(seat) > 1 and start <= begin[-1]:
+                seat.pop()
+                begin.pop()
+            else:
+                break
+        seat.append(k)
+        begin.append(start)
+    out, s = [], 0
+    for x in at:
+        while s + 1 < len(seat) and begin[s + 1] <= x:
+            s += 1
+        j = seat[s]
+        out.append((x - xs[j]) ** 2 + gs[j])
+    return out
+
+
 def distance(mask: DataFrame, res: float = 1.0) -> DataFrame:
     """(y, x, distance) to the nearest True cell, exact; NULL for an all-False mask.
 
     Columns first: the nearest True cell up or down.  Then each row, where the
-    least of (x - x')^2 + g(x')^2 is taken; squares stay integers to the root.
+    lower envelope of the parabolas (x - x')^2 + g(x')^2 is walked; squares stay
+    integers to the root.  Rows are taken BAND at a time.
     """
     ship(mask.sparkSession)
     here = F.when(F.col("m"), F.col("y"))
     up = F.last(here, ignorenulls=True).over(Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(here, ignorenulls=True).over(Window.partitionBy("x").orderBy("y").rowsBetween(0, Window.unboundedFollowing))
     g = F.least(F.col("y") - up, down - F.col("y"))
-    columns = mask.select("y", "x", g.alias("g"))
-
-    def row(cells: pd.DataFrame) -> pd.DataFrame:
-        x, known = cells["x"].to_numpy(), cells["g"].notna().to_numpy()
-        if not known.any():
-            return pd.DataFrame({"y": cells["y"], "x": x, "sq": pd.array([None] * len(x), dtype="Int64")})
-        xs, gs = x[known], cells["g"].to_numpy()[known].astype(np.int64) ** 2
-        sq = np.empty(len(x), np.int64)
-        step = max(1, 4_000_000 // len(xs))
-        for s in range(0, len(x), step):
-            sq[s : s + step] = ((x[s : s + step, None] - xs[None, :]) ** 2 + gs[None, :]).min(1)
-        return pd.DataFrame({"y": cells["y"], "x": x, "sq": sq})
-
-    squares = columns.groupBy("y").applyInPandas(row, "y long, x long, sq long")
+    columns = mask.select("y", "x", g.cast("long").alias("g"), F.floor(F.col("y") / BAND).alias("band"))
+
+    def rows(cells: pa.Table) -> pa.Table:
+        y, x = cells.column("y").to_numpy(), cells.column("x").to_numpy()
+        order = np.lexsort((x, y))
+        y, x, known = y[order], x[order], cells.column("g").is_valid().to_numpy()[order]
+        square = cells.column("g").fill_null(0).to_numpy()[order] ** 2
+        cuts = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)]
+        out: list[int | None] = []
+        for s, e in zip(cuts, cuts[1:]):
+            some = known[s:e]
+            if some.any():
+                out += _lower_envelope(x[s:e][some].tolist(), square[s:e][some].tolist(), x[s:e].tolist())
+            else:
+                out += [None] * (e - s)
+        return pa.table({"y": y, "x": x, "sq": pa.array(out, pa.int64())})
+
+    squares = columns.groupBy("band").applyInArrow(rows, "y long, x long, sq long")
     return squares.select("y", "x", (F.sqrt(F.col("sq").cast("double")) * res).alias("distance"))
 
 

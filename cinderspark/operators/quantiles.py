@@ -1,111 +1,114 @@
-"""Exact percentiles of groups of any size.
+"""Exact percentiles of groups of any size, with linear interpolation between closest ranks.
 
 The built-in exact percentile holds every distinct value of a group in one
-buffer.  Here a sketch first brackets each percentile, one pass counts what lies
-below and inside the bracket, and brackets narrow until they hold few rows; only
-those are brought together and ranked.  Results are those of linear
-interpolation between closest ranks.  Groups are few (classes, bands, dates);
-rows are not.
+buffer, which is right for groups of up to SMALL rows.  For larger ones the
+wanted ranks are searched: a bracket of values is cut into PARTS equal parts, one
+pass counts each part and notes its least and largest value, and the part that
+holds the rank becomes the bracket.  A bracket's ends are values that occur and
+stand in different parts, so each pass shrinks it, until both ends are the same
+value.  What reaches the driver is counts, never values by the row; groups of
+over SMALL rows are at most as many as all rows make.
 """
 
 from __future__ import annotations
 
-from math import floor
+from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Groups, and values of a bracket that are brought together, at most.
-MOST_GROUPS, MOST_VALUES = 10_000, 20_000
-#: Sketch accuracy, and the parts that a bracket is cut into.
-STEPS, PARTS = 10_000, 200
+from ..scratch import staged
 
+#: Rows of a group whose values may stand in one buffer.
+SMALL = 1_000_000
+#: Parts that a bracket is cut into.
+PARTS = 512
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, qs: list[float], small: int = 1 << 62) -> DataFrame:
-    """``keys``, ``quantiles`` array<double> in the order of ``qs``; groups without values give nulls.
 
-    Groups of at most ``small`` rows use the built-in in one pass, which is all groups by default: the bracket
-    search is unproven (its test did not end) and must be mended before ``small`` is lowered.
+def exact_quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, list[float]], small: int = SMALL) -> DataFrame:
+    """``keys``, and for each column of ``wanted`` an array<double> under its name, in the order of its percentiles.
+
+    Missing values don't count; a group without values gives nulls.  Without keys there is one group, of all rows.
     """
+    known = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in wanted])
+    large = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_n_{c}") for c in wanted]).where(F.col("_n") > small).collect()
+    every = [_builtin(c, qs).alias(c) for c, qs in wanted.items()]
+    if not large:
+        return known.groupBy(*keys).agg(*every)
+    known = staged(known, "quantiles")
+    shape = _shape(known, keys)
+    sizes = {tuple(r[k] for k in keys): r for r in large}
+    found: dict[tuple, list[list[float | None]]] = {g: [] for g in sizes}
+    for c, qs in wanted.items():
+        ranks = {(g, n): r[f"_n_{c}"] for g, r in sizes.items() for q in qs if r[f"_n_{c}"] for n in _ranks(q, r[f"_n_{c}"])}
+        values = _at_ranks(known, keys, c, ranks)
+        for g, r in sizes.items():
+            found[g].append([_between(q, r[f"_n_{c}"], values, g) if r[f"_n_{c}"] else None for q in qs])
     spark = rows.sparkSession
-    known = rows.select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = known.groupBy(*keys).agg(F.count("_v").alias("n")).limit(MOST_GROUPS + 1).collect()
-    if len(sizes) > MOST_GROUPS:
-        raise ValueError(f"over {MOST_GROUPS} groups: use the built-in percentile, whose groups are then small")
-    if all(r.n <= small for r in sizes):
-        every = F.percentile("_v", F.array(*map(F.lit, qs)))
-        blank = F.transform(F.array(*map(F.lit, qs)), lambda q: F.lit(None).cast("double"))
-        return known.groupBy(*keys).agg(F.coalesce(every, blank).alias("quantiles"))
-    found: dict[tuple, list[float | None]] = {tuple(r[k] for k in keys): [None] * len(qs) for r in sizes}
-    # (group, percentile) -> first wanted rank, bracket, rows below it; all brackets start open
-    open_ = {
-        (tuple(r[k] for k in keys), j): [q * (r.n - 1), float("-inf"), float("inf"), 0, r.n] for r in sizes if r.n for j, q in enumerate(qs)
-    }
-    while open_:
-        few = {at: b for at, b in open_.items() if b[4] <= MOST_VALUES}
-        if few:
-            chosen = _bracket_frame(spark, rows, keys, few)
-            lists = _within(known, chosen, keys).groupBy(*keys, "_j").agg(F.sort_array(F.collect_list("_v")).alias("vs")).collect()
-            for r in lists:
-                at = (tuple(r[k] for k in keys), r["_j"])
-                rank, _, _, below, _ = few[at]
-                k = floor(rank) - below
-                low, high = r.vs[k], r.vs[min(k + 1, len(r.vs) - 1)]
-                found[at[0]][at[1]] = low + (high - low) * (rank - floor(rank))
-                del open_[at]
-        if not open_:
-            break
-        narrowed = _narrow(_within(known, _bracket_frame(spark, rows, keys, open_), keys), keys, open_)
-        counts = _counts(known, _bracket_frame(spark, rows, keys, narrowed), keys)
-        for at, (rank, low, high, _, n_before) in narrowed.items():
-            below, n = counts[at]
-            if not (below <= floor(rank) and floor(rank) + 1 < below + n or n == n_before):
-                continue  # the sketch missed: keep the wider bracket and ask it again
-            if low == high:
-                found[at[0]][at[1]] = low
-                del open_[at]
-            else:
-                open_[at] = [rank, low, high, below, n]
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    out = [(*group, values) for group, values in found.items()]
-    return spark.createDataFrame(out, (shape + ", " if shape else "") + "quantiles array<double>")
-
-
-def _bracket_frame(spark, rows: DataFrame, keys: list[str], brackets: dict) -> DataFrame:
-    shape = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keys).schema.fields)
-    return spark.createDataFrame([(*g, j, b[1], b[2]) for (g, j), b in brackets.items()], shape + "_j int, _low double, _high double")
-
-
-def _joined(known: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows beside their group's brackets: at most MOST_GROUPS times the percentiles, so broadcast."""
+    out = spark.createDataFrame([(*g, *v) for g, v in found.items()], shape + ", ".join(f"{c} array<double>" for c in wanted))
+    if not keys:
+        return out
+    rest = known.join(F.broadcast(spark.createDataFrame(list(sizes), _shape(known, keys, "_g_").rstrip(", "))), _same(keys), "left_anti")
+    return out.unionByName(rest.groupBy(*keys).agg(*every))
+
+
+def _builtin(column: str, qs: list[float]) -> Column:
+    blank = F.array(*[F.lit(None).cast("double") for _ in qs])
+    return F.coalesce(F.percentile(column, F.array(*map(F.lit, qs))), blank)
+
+
+def _shape(known: DataFrame, keys: list[str], name: str = "") -> str:
+    return "".join(f"{name}{f.name} {f.dataType.simpleString()}, " for f in known.select(*keys).schema.fields)
+
+
+def _same(keys: list[str]) -> Column:
+    """The group of a row is that of a bracket, whose keys carry a prefix; missing keys are a group like any other."""
     match = F.lit(True)
     for k in keys:
-        match = match & known[k].eqNullSafe(brackets[k])
-    both = known.join(F.broadcast(brackets), match)
-    for k in keys:
-        both = both.drop(brackets[k])
-    return both.where("_v IS NOT NULL")
+        match = match & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return match
 
 
-def _within(known: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    return _joined(known, brackets, keys).where("_v >= _low AND _v <= _high")
+def _ranks(q: float, n: int) -> tuple[int, int]:
+    return floor(q * (n - 1)), ceil(q * (n - 1))
 
 
-def _narrow(inside: DataFrame, keys: list[str], open_: dict) -> dict:
-    """Brackets around the wanted ranks by a sketch of what is inside the present ones."""
-    grid = [k / PARTS for k in range(PARTS + 1)]
-    sketch = inside.groupBy(*keys, "_j").agg(F.percentile_approx("_v", F.array(*map(F.lit, grid)), F.lit(STEPS)).alias("vs")).collect()
-    out = {}
-    for r in sketch:
-        at = (tuple(r[k] for k in keys), r["_j"])
-        rank, low, high, below, n = open_[at]
-        share = (rank - below) / max(n - 1, 1)
-        a, b = max(0, floor(share * PARTS) - 1), min(PARTS, floor(share * PARTS) + 2)
-        out[at] = [rank, r.vs[a] if a else low, r.vs[b] if b < PARTS else high, below, n]
-    return out
+def _between(q: float, n: int, values: dict, group: tuple) -> float:
+    low, high = _ranks(q, n)
+    a, b = values[group, low], values[group, high]
+    return a + (b - a) * (q * (n - 1) - low)
 
 
-def _counts(known: DataFrame, brackets: DataFrame, keys: list[str]) -> dict:
-    both = _joined(known, brackets, keys)
-    per = both.groupBy(*keys, "_j").agg(F.count_if(F.col("_v") < F.col("_low")).alias("below"), F.count_if((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))).alias("n"))
-    return {(tuple(r[k] for k in keys), r["_j"]): (r.below, r.n) for r in per.collect()}
+def _at_ranks(known: DataFrame, keys: list[str], column: str, ranks: dict[tuple, int]) -> dict[tuple, float]:
+    """The values at 0-based ranks of groups."""
+    spark = known.sparkSession
+    values = known.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
+    ends = values.groupBy(*keys).agg(F.min("_v").alias("low"), F.max("_v").alias("high")).collect()
+    of_group = {tuple(r[k] for k in keys): (r.low, r.high) for r in ends}
+    # (group, rank) -> bracket, and the values below it
+    open_ = {at: (*of_group[at[0]], 0) for at in ranks}
+    found: dict[tuple, float] = {}
+    while open_:
+        for at in [at for at, (low, high, _) in open_.items() if low == high]:
+            found[at] = open_.pop(at)[0]
+        if not open_:
+            break
+        brackets = sorted({(at[0], low, high) for at, (low, high, _) in open_.items()}, key=str)
+        frame = spark.createDataFrame([(*g, k, low, high) for k, (g, low, high) in enumerate(brackets)], _shape(known, keys, "_g_") + "_k int, _low double, _high double")
+        inside = values.join(F.broadcast(frame), _same(keys)).where("_v >= _low AND _v <= _high")
+        # halves, so that the widest bracket doesn't overflow; the narrowest has no width in floating point
+        width = F.col("_high") / 2 - F.col("_low") / 2
+        share = F.when(width > 0, (F.col("_v") / 2 - F.col("_low") / 2) / width).otherwise((F.col("_v") > F.col("_low")).cast("double"))
+        part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1))
+        counts = inside.groupBy("_k", part.alias("_part")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")).collect()
+        parts: dict[int, list] = {}
+        for r in sorted(counts, key=lambda r: (r["_k"], r["_part"])):
+            parts.setdefault(r["_k"], []).append(r)
+        of_bracket = {b: parts[k] for k, b in enumerate(brackets)}
+        for at, (low, high, below) in open_.items():
+            for r in of_bracket[at[0], low, high]:
+                if at[1] < below + r.n:
+                    open_[at] = (r.low, r.high, below)
+                    break
+                below += r.n
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.raster import BURNED, SCL_NAMES, SEVERITY_LABELS, at_least, hectares, percent_where, percentile
+from ..functions.raster import BURNED, SCL_NAMES, SEVERITY_LABELS, at_least, hectares, percent_where
 from .quantiles import exact_quantiles
 
 
@@ -45,9 +45,10 @@ def zones(cells: DataFrame, zone: str, least_ha: float = 5.0, res: float = 10.0)
         hectares(F.count(F.lit(1)), res).alias("ha"),
         F.bround(F.sum((F.col("dnbr") >= BURNED).cast("long")) * 100.0 / F.nullif(F.count("dnbr"), F.lit(0)), 1).alias("pct_burned"),
     )
-    d = exact_quantiles(inside, [zone], "dnbr", [0.5, 0.9]).select(zone, *[F.bround(F.get("quantiles", F.lit(k)), 3).alias(n) for k, n in enumerate(("dnbr_median", "dnbr_p90"))])
-    r = exact_quantiles(inside, [zone], "rdnbr", [0.5]).select(zone, F.bround(F.get("quantiles", F.lit(0)), 3).alias("rdnbr_median"))
-    return out.where(F.col("ha") >= least_ha).join(d, zone).join(r, zone).withColumn("ha", F.bround("ha", 1))
+    q = exact_quantiles(inside, [zone], {"dnbr": [0.5, 0.9], "rdnbr": [0.5]})
+    three = lambda c, k, n: F.bround(F.get(c, F.lit(k)), 3).alias(n)
+    q = q.select(zone, three("dnbr", 0, "dnbr_median"), three("dnbr", 1, "dnbr_p90"), three("rdnbr", 0, "rdnbr_median"))
+    return out.where(F.col("ha") >= least_ha).join(q, zone).withColumn("ha", F.bround("ha", 1))
 
 
 def threshold_table(cells: DataFrame, forest: Column, farmland: Column, thresholds: tuple[float, ...] = (0.10, BURNED), res: float = 10.0) -> DataFrame:
@@ -69,14 +70,13 @@ def overlap(cells: DataFrame, mask: Column, scl: str) -> DataFrame:
 
 def quantile_bins(rows: DataFrame, x: str, y: str, bins: int = 8) -> DataFrame:
     """Mean, median and size of y in the quantile bins of x: right-closed, the lowest value included, equal edges merged."""
-    edges = rows.where(F.col(x).isNotNull()).agg(
-        F.array_distinct(F.percentile(F.col(x), F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges")
-    )
+    known = rows.where(F.col(x).isNotNull()).select(x, y)
+    edges = exact_quantiles(known, [], {x: [k / bins for k in range(bins + 1)]}).select(F.array_distinct(x).alias("edges"))
     below = F.size(F.filter("edges", lambda e: e < F.col(x)))
-    binned = rows.where(F.col(x).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), below))
-    return binned.groupBy("bin").agg(
-        F.bround(F.avg(y), 3).alias("mean"), F.bround(percentile(F.col(y), 0.5), 3).alias("median"), F.count(F.lit(1)).alias("size")
-    )
+    binned = known.crossJoin(F.broadcast(edges)).select(F.greatest(F.lit(1), below).alias("bin"), y)
+    out = binned.groupBy("bin").agg(F.bround(F.avg(y), 3).alias("mean"), F.count(F.lit(1)).alias("size"))
+    middle = exact_quantiles(binned, ["bin"], {y: [0.5]}).select("bin", F.bround(F.get(y, F.lit(0)), 3).alias("median"))
+    return out.join(middle, "bin").select("bin", "mean", "median", "size")
 
 
 def equal_bins(rows: DataFrame, x: str, bins: int = 46) -> DataFrame:

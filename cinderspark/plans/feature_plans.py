@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import raster as R
 from ..operators import sampling
-from ..sources.derived import problems, side
+from ..operators.ranking import global_rank
+from ..sources.derived import problems, side, swaths
+from ..sources.sinks import geojson_feature, points_document
 from ..sources.tables import read
 from .raster_plans import delta
 from .registry import query
@@ -121,16 +123,61 @@ def p5(spark, sf_dir):
     return sampled(spark, sf_dir).where(F.col("severity").isin(burned)).select("id", "severity")
 
 
-@query("p10_having", "SELECT area_name, count(*) AS n FROM sampled WHERE dnbr_median IS NOT NULL AND area_name IS NOT NULL GROUP BY area_name HAVING count(*) >= 5", "sampled")
+#: What a group must have to be reported, by rule.
+LEAST = {"circuit": 5, "area": 10, "zone": 5.0, "sector": 100.0, "front": 200, "scar": 2000, "smoke": 5, "class": 0.01}
+
+
+@query(
+    "p10_having",
+    f"""WITH g AS (
+        SELECT 'circuit' AS rule, area_name || '/' || colour AS key, count(*)::DOUBLE AS size FROM sampled WHERE dnbr_median IS NOT NULL AND area_name IS NOT NULL AND colour IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'area', area_name, count(*) FROM sampled WHERE dnbr_median IS NOT NULL AND area_name IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'zone', fuel::VARCHAR, count(*) / 100::DOUBLE FROM delta WHERE fuel >= 0 GROUP BY ALL
+        UNION ALL SELECT 'sector', fuel::VARCHAR, count(*) / 100::DOUBLE FROM delta WHERE fuel >= 0 AND coalesce(dnbr >= 0.10, false) GROUP BY ALL
+        UNION ALL SELECT 'front', fuel || '/' || ok, count(*) FROM delta WHERE fuel >= 0 AND coalesce(dnbr >= 0.10, false) GROUP BY fuel, ok
+        UNION ALL SELECT 'scar', cls::VARCHAR, count(*) FROM (SELECT CASE WHEN dnbr >= 0.27 THEN 1 ELSE 0 END AS cls FROM delta) GROUP BY cls
+        UNION ALL SELECT 'smoke', day::VARCHAR, count(*) FROM swaths WHERE v >= 0.25 GROUP BY ALL
+        UNION ALL SELECT 'class', scl_pre::VARCHAR, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () FROM px GROUP BY scl_pre)
+    SELECT rule, key, round_even(size, 4) AS size FROM g WHERE CASE rule {" ".join(f"WHEN '{r}' THEN size >= {v}" for r, v in LEAST.items() if r != "class")} ELSE size > {LEAST["class"]} END""",
+    "sampled", "swaths",
+)
 def p10(spark, sf_dir):
+    """Groups that are large enough for each report."""
+    text = lambda *c: F.concat_ws("/", *[F.col(x).cast("string") for x in c])
+    many = F.count(F.lit(1)).cast("double")
+
+    def rule(name, rows, keys, size):
+        return rows.groupBy(*keys).agg(size.alias("size")).select(F.lit(name).alias("rule"), text(*keys).alias("key"), "size")
+
     known = sampled(spark, sf_dir).where("dnbr_median IS NOT NULL AND area_name IS NOT NULL")
-    return known.groupBy("area_name").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    px = delta(spark, sf_dir)
+    land, low = px.where("fuel >= 0"), R.at_least(F.col("dnbr"), R.LOW)
+    scar = px.select(F.coalesce(F.col("dnbr") >= R.BURNED, F.lit(False)).cast("int").alias("cls"))
+    classes = px.groupBy(F.col("scl_pre").alias("k")).agg(many.alias("n"))
+    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())  # twelve rows
+    groups = [
+        rule("circuit", known.where("colour IS NOT NULL"), ["area_name", "colour"], many),
+        rule("area", known, ["area_name"], many),
+        rule("zone", land, ["fuel"], R.hectares(many)),
+        rule("sector", land.where(low), ["fuel"], R.hectares(many)),
+        rule("front", land.where(low), ["fuel", "ok"], many),
+        rule("scar", scar, ["cls"], many),
+        rule("smoke", swaths(spark, sf_dir).where("v >= 0.25"), ["day"], many),
+        classes.select(F.lit("class").alias("rule"), text("k").alias("key"), share.alias("size")),
+    ]
+    out = groups[0]
+    for g in groups[1:]:
+        out = out.unionByName(g)
+    enough = F.lit(False)
+    for name, least in LEAST.items():
+        enough = enough | ((F.col("rule") == name) & ((F.col("size") > least) if name == "class" else (F.col("size") >= least)))
+    return out.where(enough).withColumn("size", F.bround("size", 4))
 
 
 @query("t2_circuit_order", f"SELECT row_number() OVER (ORDER BY pct_burned DESC, dnbr_median DESC, area_name, colour)::INT AS place, area_name, colour FROM ({CIRCUITS_SQL})", "sampled")
 def t2(spark, sf_dir):
-    order = Window.orderBy(F.desc("pct_burned"), F.desc("dnbr_median"), "area_name", "colour")
-    return sampling.circuits(sampled(spark, sf_dir)).select(F.row_number().over(order).alias("place"), "area_name", "colour")
+    order = [F.desc("pct_burned"), F.desc("dnbr_median"), "area_name", "colour"]
+    return global_rank(sampling.circuits(sampled(spark, sf_dir)), order).select(F.col("place").cast("int").alias("place"), "area_name", "colour")
 
 
 @query("t4_top_features", "SELECT id, dnbr_median FROM sampled WHERE dnbr_median IS NOT NULL ORDER BY dnbr_median DESC, id LIMIT 30", "sampled")
@@ -164,34 +211,64 @@ def j17(spark, sf_dir):
 )
 def a12(spark, sf_dir):
     p = problems(spark, sf_dir)
-    first = p.where("area_name IS NOT NULL").groupBy("area_name").agg(F.min("id").alias("first"))
-    codes = first.select("area_name", (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
-    return p.join(codes, "area_name", "left").select("id", F.coalesce("code", F.lit(-1)).alias("code"))
+    return p.join(dictionary(p), "area_name", "left").select("id", F.coalesce("code", F.lit(-1)).alias("code"))
+
+
+def dictionary(features: DataFrame) -> DataFrame:
+    """(area_name, code): names numbered from 0 in the order in which they first come up."""
+    first = features.where("area_name IS NOT NULL").groupBy("area_name").agg(F.min("id").alias("first"))
+    return global_rank(first, ["first"], "code").select("area_name", (F.col("code") - 1).cast("int").alias("code"))
+
+
+#: Adding zero makes a negative zero a plain one.
+_POINT = "round_even(lon, 5) AS lon, round_even(lat, 5) AS lat, round_even(dnbr_median, 3) + 0::DOUBLE AS dnbr"
 
 
 @query(
     "k4_points_payload",
-    """SELECT id, round_even(lon, 5) AS lon, round_even(lat, 5) AS lat, round_even(dnbr_median, 3) AS dnbr, coalesce(cls, -1) AS sev, coalesce(edge::INT, 0) AS edge
-    FROM sampled WHERE in_aoi""",
+    f"""SELECT document, strlen(document) AS bytes, strlen(document) > 16777216 AS over FROM (
+        SELECT '{{"columns":["id","lon","lat","dnbr","sev","edge"],"rows":[' || string_agg('[' || id || ',' || lon || ',' || lat || ',' || coalesce(dnbr::VARCHAR, 'null') || ',' || sev || ',' || edge || ']', ',' ORDER BY id) || ']}}' AS document
+        FROM (SELECT id, {_POINT}, coalesce(cls, -1) AS sev, coalesce(edge::INT, 0) AS edge FROM sampled WHERE in_aoi))""",
     "sampled",
 )
 def k4(spark, sf_dir):
-    return sampled(spark, sf_dir).where("in_aoi").select(
+    """The features of a page: names of columns once, rows as arrays, with the size against what a page may carry."""
+    points = sampled(spark, sf_dir).where("in_aoi").select(
         "id", F.bround("lon", 5).alias("lon"), F.bround("lat", 5).alias("lat"), F.bround("dnbr_median", 3).alias("dnbr"),
         F.coalesce("cls", F.lit(-1)).alias("sev"), F.coalesce(F.col("edge").cast("int"), F.lit(0)).alias("edge"),
     )
+    return points_document(points, points.columns, ["id"], 16 << 20)
 
 
-@query("k2_geojson", "SELECT id, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || id || ',' || (id % 7) || ']},\"properties\":{\"id\":' || id || '}}' AS feature FROM problems", "problems")
+@query(
+    "k2_geojson",
+    f"""SELECT id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"id":' || id || ',"dnbr":' || coalesce(dnbr::VARCHAR, 'null') || ',"edge":' || coalesce(edge::VARCHAR, 'null') || '}}}}' AS feature
+    FROM (SELECT id, {_POINT}, edge FROM sampled)""",
+    "sampled",
+)
 def k2(spark, sf_dir):
-    from ..sources.sinks import geojson_feature
+    """Features with their samples; what wasn't sampled is null."""
+    f = sampled(spark, sf_dir).select("id", F.bround("lon", 5).alias("lon"), F.bround("lat", 5).alias("lat"), F.bround("dnbr_median", 3).alias("dnbr"), "edge")
+    return f.select("id", geojson_feature(F.col("lon"), F.col("lat"), F.struct("id", "dnbr", "edge")).alias("feature"))
 
-    return problems(spark, sf_dir).select("id", geojson_feature(F.col("id"), F.col("id") % 7, F.struct("id")).alias("feature"))
 
-
-@query("k3_summary_document", "SELECT count(*) AS problems, count(dnbr_median) AS sampled, sum((dnbr_median >= 0.27)::INT)::BIGINT AS burned FROM sampled", "sampled")
+@query(
+    "k3_summary_document",
+    """SELECT '{"counts":{"problems":' || count(*) || ',"sampled":' || count(dnbr_median) || ',"burned":' || coalesce(sum((dnbr_median >= 0.27)::INT), 0)::BIGINT || '},"dnbr":{"median":'
+        || coalesce(round_even(median(dnbr_median), 4)::VARCHAR, 'null') || ',"max":' || coalesce(max(dnbr_median)::VARCHAR, 'null') || '},"severity":['
+        || (SELECT string_agg('{"label":"' || label || '","problems":' || n || '}', ',' ORDER BY code) FROM (SELECT code, label, count(id) AS n FROM names LEFT JOIN sampled ON cls = code GROUP BY code, label)) || ']}' AS document
+    FROM sampled""",
+    "sampled", "names",
+)
 def k3(spark, sf_dir):
-    return sampled(spark, sf_dir).agg(F.count(F.lit(1)).alias("problems"), F.count("dnbr_median").alias("sampled"), F.sum((F.col("dnbr_median") >= R.BURNED).cast("long")).alias("burned"))
+    """One nested document of a run."""
+    s = sampled(spark, sf_dir)
+    counts = F.struct(F.count(F.lit(1)).alias("problems"), F.count("dnbr_median").alias("sampled"), F.coalesce(F.sum((F.col("dnbr_median") >= R.BURNED).cast("long")), F.lit(0)).alias("burned"))
+    spread = F.struct(F.bround(F.median("dnbr_median"), 4).alias("median"), F.max("dnbr_median").alias("max"))
+    listed = F.array_sort(F.collect_list(F.struct("cls", "label", "n")))
+    severity = sampling.class_counts(s).agg(F.transform(listed, lambda c: F.struct(c["label"].alias("label"), c["n"].alias("problems"))).alias("severity"))
+    one = s.agg(counts.alias("counts"), spread.alias("dnbr")).crossJoin(severity)
+    return one.select(F.to_json(F.struct("counts", "dnbr", "severity"), {"ignoreNullFields": "false"}).alias("document"))
 
 
 @query("u2_set_difference", "SELECT area_id FROM (SELECT n_nationkey AS area_id FROM nation EXCEPT SELECT area_id FROM problems WHERE colour = 'BUILDING')", "problems")

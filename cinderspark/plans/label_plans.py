@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import labels as L, validation as V
+from ..operators.ranking import global_rank
 from ..sources import readers
 from ..sources.derived import pixels, places
-from ..sources.sinks import payload
+from ..sources.sinks import payload, points_document
 from ..sources.tables import read
 from .raster_plans import delta
 from .registry import query
@@ -50,32 +51,59 @@ def w4(spark, sf_dir):
     return L.first_by_name(L.place_labels(places(spark, sf_dir))).select("name", "kind", "rank")
 
 
-@query("u4_ordered_concat", f"SELECT src, count(*) AS n FROM (SELECT 'sector' AS src FROM ({_SECTORS_SQL}) WHERE lon <= 2.705::DOUBLE AND lat <= 48.505::DOUBLE UNION ALL SELECT src FROM ({_LABELS_SQL})) GROUP BY src", "places")
+_TIER = "CASE WHEN problems_count >= 300 THEN 1 WHEN problems_count >= 150 THEN 2 WHEN problems_count >= 60 THEN 3 WHEN problems_count >= 20 THEN 4 ELSE 5 END"
+
+
+@query(
+    "u4_ordered_concat",
+    f"""SELECT row_number() OVER (ORDER BY prio, rank, pop DESC, name, lat, lon) AS place, name, src FROM (
+        SELECT 0 AS prio, name, {_TIER} AS rank, problems_count AS pop, lat, lon, 'sector' AS src FROM ({_SECTORS_SQL}) WHERE lon <= 2.705::DOUBLE AND lat <= 48.505::DOUBLE
+        UNION ALL SELECT 1, name, rank, pop, lat, lon, src FROM ({_LABELS_SQL}))""",
+    "places",
+)
 def u4(spark, sf_dir):
+    """Sectors first, then the other labels, each in their own order."""
     both = sectors(spark, sf_dir).unionByName(L.place_labels(places(spark, sf_dir)))
-    return both.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return global_rank(both, [F.col("src") != "sector", "rank", F.desc("pop"), "name", "lat", "lon"]).select("place", "name", "src")
 
 
 @query("t3_label_order", f"SELECT row_number() OVER (ORDER BY rank, pop DESC, name, lat)::INT AS place, name FROM ({_LABELS_SQL})", "places")
 def t3(spark, sf_dir):
-    w = Window.orderBy("rank", F.desc("pop"), "name", "lat")
-    return L.place_labels(places(spark, sf_dir)).select(F.row_number().over(w).alias("place"), "name")
+    ranked = global_rank(L.place_labels(places(spark, sf_dir)), ["rank", F.desc("pop"), "name", "lat"])
+    return ranked.select(F.col("place").cast("int").alias("place"), "name")
+
+
+#: Labels that a map carries.
+BUDGET = 200
+
+
+def budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.place_labels(places(spark, sf_dir)).orderBy("rank", F.desc("pop"), "name", "lat").limit(BUDGET)
 
 
-@query("t7_label_budget", f"SELECT name, rank FROM ({_LABELS_SQL}) ORDER BY rank, pop DESC, name, lat LIMIT 20", "places")
+@query("t7_label_budget", f"SELECT name, rank FROM ({_LABELS_SQL}) ORDER BY rank, pop DESC, name, lat LIMIT {BUDGET}", "places")
 def t7(spark, sf_dir):
-    return L.place_labels(places(spark, sf_dir)).orderBy("rank", F.desc("pop"), "name", "lat").limit(20).select("name", "rank")
+    return budgeted(spark, sf_dir).select("name", "rank")
 
 
 @query("a11_thin_labels")
 def a11(spark, sf_dir):
     """The map's labels: sectors and places merged by name, landmarks thinned to 700 m."""
-    return L.thin(L.first_by_name(sectors(spark, sf_dir).unionByName(L.place_labels(places(spark, sf_dir)))))
+    merged = L.first_by_name(sectors(spark, sf_dir).unionByName(L.place_labels(places(spark, sf_dir))))
+    return L.thin(merged.withColumn("map", L.sheet(F.col("lat"), F.col("lon"))), "map").drop("map")
 
 
-@query("k5_places_document", f"SELECT count(*) AS labels, sum(octet_length(name::BLOB))::BIGINT AS name_bytes FROM ({_LABELS_SQL})", "places")
+@query(
+    "k5_places_document",
+    f"""SELECT document, strlen(document) AS bytes, strlen(document) > 60000 AS over FROM (
+        SELECT '{{"columns":["name","lat","lon","kind","rank"],"rows":[' || string_agg('["' || name || '",' || round_even(lat, 5) || ',' || round_even(lon, 5) || ',"' || kind || '",' || rank || ']', ',' ORDER BY rank, pop DESC, name, lat) || ']}}' AS document
+        FROM (SELECT * FROM ({_LABELS_SQL}) ORDER BY rank, pop DESC, name, lat LIMIT {BUDGET}))""",
+    "places",
+)
 def k5(spark, sf_dir):
-    return L.place_labels(places(spark, sf_dir)).agg(F.count(F.lit(1)).alias("labels"), F.sum(F.octet_length("name")).alias("name_bytes"))
+    """The labels within the budget as one document, with its size against 60 KB."""
+    rows = budgeted(spark, sf_dir).withColumns({"lat": F.bround("lat", 5), "lon": F.bround("lon", 5)})
+    return points_document(rows, ["name", "lat", "lon", "kind", "rank"], ["rank", (-F.col("pop")).alias("p"), "name", "lat"], 60_000)
 
 
 @query("k5_places_payload")
@@ -189,7 +217,7 @@ _FEATURES = ["nir_pre", "swir_pre", "red_pre", "fuel"]
 @query("m1_boosted_trees")
 def m1(spark, sf_dir):
     """Burn severity predicted from the bands before the fire and the fuel."""
-    return V.fit_trees(driver_sample(spark, sf_dir), _FEATURES, "dnbr").select("y", "x", "dnbr", "prediction")
+    return V.fit_trees(driver_sample(spark, sf_dir), _FEATURES, "dnbr", categories=["fuel"]).select("y", "x", "dnbr", "prediction")
 
 
 @query("m2_cross_validation")
@@ -197,15 +225,15 @@ def m2(spark, sf_dir):
     """R2 under random folds and under spatial blocks."""
     rows = driver_sample(spark, sf_dir)
     blocks = rows.join(V.block_folds(rows, "block").select("block", "fold"), "block")
-    a = V.cross_validate(V.random_folds(rows, ["y", "x"]), _FEATURES, "dnbr").withColumn("kind", F.lit("random"))
-    return a.unionByName(V.cross_validate(blocks, _FEATURES, "dnbr").withColumn("kind", F.lit("blocked")))
+    scored = lambda folded, kind: V.cross_validate(folded, _FEATURES, "dnbr", categories=["fuel"]).withColumn("kind", F.lit(kind))
+    return scored(V.random_folds(rows, ["y", "x"]), "random").unionByName(scored(blocks, "blocked"))
 
 
 @query("m3_permutation_importance")
 def m3(spark, sf_dir):
     rows = driver_sample(spark, sf_dir)
     blocks = rows.join(V.block_folds(rows, "block").select("block", "fold"), "block")
-    return V.permutation_importance(blocks, _FEATURES, "dnbr", ["y", "x"]).orderBy(F.desc("importance"), "feature")
+    return V.permutation_importance(blocks, _FEATURES, "dnbr", ["y", "x"], categories=["fuel"]).orderBy(F.desc("importance"), "feature")
 
 
 @query("t8_importance_order")

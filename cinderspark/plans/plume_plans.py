@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, raster as R
 from ..functions.weather import vector_mean
+from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import global_rank
 from ..sources.derived import catalogue, orbits, pixels, problems, side, swaths
 from ..sources.tables import read
@@ -188,7 +189,9 @@ def g21(spark, sf_dir):
 
 @query("g22_field_stats", "SELECT day, round_even(count(v) * 100.0::DOUBLE / count(*), 2) AS coverage, round_even(median(v), 5) AS median, round_even(quantile_cont(v, 0.99), 5) AS p99 FROM swaths GROUP BY day", "swaths")
 def g22(spark, sf_dir):
-    return swaths(spark, sf_dir).groupBy("day").agg(F.bround(F.count("v") * 100.0 / F.count(F.lit(1)), 2).alias("coverage"), F.bround(F.median("v"), 5).alias("median"), F.bround(F.percentile("v", F.lit(0.99)), 5).alias("p99"))
+    s = swaths(spark, sf_dir).select("day", "v")
+    q = exact_quantiles(s, ["day"], {"v": [0.5, 0.99]}).select("day", F.bround(F.get("v", F.lit(0)), 5).alias("median"), F.bround(F.get("v", F.lit(1)), 5).alias("p99"))
+    return s.groupBy("day").agg(F.bround(F.count("v") * 100.0 / F.count(F.lit(1)), 2).alias("coverage")).join(q, "day")
 
 
 @query("r19_pixel_centre", "SELECT DISTINCT y, x, round_even(2.0 + (x + 0.5) * 0.02, 6)::DOUBLE AS lon, round_even(49.0 + (y + 0.5) * -0.03, 6)::DOUBLE AS lat FROM swaths", "swaths")
@@ -297,11 +300,11 @@ def g25(spark, sf_dir):
     p = smoke(spark, sf_dir).where("lh IS NOT NULL AND qa >= 0.5 AND ai >= 1.0").select("lh", km.alias("km"), bearing.alias("b"))
     near = F.col("km") <= 120
     mean_bearing, _ = vector_mean(F.when(near, F.lit(1.0)), F.when(near, F.col("b")))
-    q = lambda v: F.bround(F.percentile("lh", F.lit(v)), 3)
-    return p.agg(
-        F.count(F.lit(1)).alias("n_smoke"), q(0.5).alias("median_m"), q(0.25).alias("p25_m"), q(0.75).alias("p75_m"), F.bround(F.max("lh"), 3).alias("max_m"),
+    q = exact_quantiles(p, [], {"lh": [0.25, 0.5, 0.75]}).select(*[F.bround(F.get("lh", F.lit(k)), 3).alias(n) for k, n in enumerate(("p25_m", "median_m", "p75_m"))])
+    return q.crossJoin(p.agg(
+        F.count(F.lit(1)).alias("n_smoke"), F.bround(F.max("lh"), 3).alias("max_m"),
         F.bround(R.percent_where(F.col("lh") > 1865), 1).alias("pct_above"), F.count_if(near).alias("near"), F.bround(mean_bearing, 2).alias("bearing"), F.bround(F.avg(F.when(near, F.col("km"))), 3).alias("mean_km"),
-    )
+    ))
 
 
 # --- grids -----------------------------------------------------------------
@@ -334,20 +337,28 @@ def r24(spark, sf_dir):
     return pixels(spark, sf_dir).select("y", "x", geo.block_id(F.col("y"), F.col("x")).alias("block"))
 
 
-@query("c4_utm_round_trip")
+@query("c4_utm_round_trip", f"SELECT id, round_even(x, 3) AS x, round_even(y, 3) AS y, true AS lon_ok, true AS lat_ok FROM ({geo.utm_forward_sql('problems', 31)})", "problems")
 def c4(spark, sf_dir):
     """Forward and inverse projection; the error of the round trip is far below a pixel."""
     p = problems(spark, sf_dir)
     x, y = geo.utm_forward(F.col("lon"), F.col("lat"), 31)
     p = p.select("id", "lon", "lat", x.alias("x"), y.alias("y"))
     lon, lat = geo.utm_inverse(F.col("x"), F.col("y"), 31)
-    return p.select("id", "x", "y", (F.abs(lon - F.col("lon")) < 1e-7).alias("lon_ok"), (F.abs(lat - F.col("lat")) < 1e-7).alias("lat_ok"))
+    return p.select("id", F.bround("x", 3).alias("x"), F.bround("y", 3).alias("y"), (F.abs(lon - F.col("lon")) < 1e-7).alias("lon_ok"), (F.abs(lat - F.col("lat")) < 1e-7).alias("lat_ok"))
 
 
-@query("k9_grid_bounds")
+#: Corners of a projected grid.
+CORNERS = [(x, y) for x in (470000.0, 499780.0) for y in (5350000.0, 5375000.0)]
+_CORNERS_SQL = " UNION ALL ".join(f"SELECT {x}::DOUBLE AS x, {y}::DOUBLE AS y" for x, y in CORNERS)
+
+
+@query(
+    "k9_grid_bounds",
+    f"""SELECT round_even(min(lon), 5) AS west, round_even(min(lat), 5) AS south, round_even(max(lon), 5) AS east, round_even(max(lat), 5) AS north
+    FROM ({geo.utm_inverse_sql(f"({_CORNERS_SQL})", 31)})""",
+)
 def k9(spark, sf_dir):
     """Geographic bounds of a projected grid, from its four corners."""
-    corners = spark.createDataFrame([(470000.0, 5350000.0), (470000.0, 5375000.0), (499780.0, 5350000.0), (499780.0, 5375000.0)], "x double, y double")
     lon, lat = geo.utm_inverse(F.col("x"), F.col("y"), 31)
-    p = corners.select(lon.alias("lon"), lat.alias("lat"))
+    p = spark.createDataFrame(CORNERS, "x double, y double").select(lon.alias("lon"), lat.alias("lat"))
     return p.agg(*[F.bround(f(c), 5).alias(n) for n, f, c in (("west", F.min, "lon"), ("south", F.min, "lat"), ("east", F.max, "lon"), ("north", F.max, "lat"))])

@@ -136,8 +136,8 @@ def g5(spark, sf_dir):
 def g6(spark, sf_dir):
     d = delta(spark, sf_dir).select("dnbr", "rdnbr")
     four = lambda c: F.bround(c, 4)
-    q = lambda c: exact_quantiles(d, [], c, [0.5, 0.99, 1.0]).select(*[four(F.get("quantiles", F.lit(k))).alias(f"{c[0]}{n}") for k, n in enumerate(("50", "99", "max"))])
-    return q("dnbr").crossJoin(q("rdnbr"))
+    q = exact_quantiles(d, [], {"dnbr": [0.5, 0.99, 1.0], "rdnbr": [0.5, 0.99, 1.0]})
+    return q.select(*[four(F.get(c, F.lit(k))).alias(f"{c[0]}{n}") for c in ("dnbr", "rdnbr") for k, n in enumerate(("50", "99", "max"))])
 
 
 @query(
@@ -258,7 +258,7 @@ def k8(spark, sf_dir):
 def k11(spark, sf_dir):
     px = pixels(spark, sf_dir)
     pooled = px.select(F.explode(F.array("red_pre", "green_pre", "blue_pre")).alias("v"))
-    low, high = exact_quantiles(pooled, [], "v", [0.02, 0.98]).first().quantiles
+    low, high = exact_quantiles(pooled, [], {"v": [0.02, 0.98]}).first().v
     level = (F.col("red_pre") - low) / max(high - low, 1e-6)
     return px.where("red_pre IS NOT NULL").select("y", "x", F.bround(F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0)), 5).alias("r"))
 

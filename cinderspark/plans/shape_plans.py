@@ -222,3 +222,47 @@ def k13(spark, sf_dir):
     s = side(spark, sf_dir)
     clamp = lambda c: F.least(F.greatest(F.col(c) - 4, F.lit(0)), F.lit(s - 8)).cast("long")
     return pixels(spark, sf_dir).select("y", "x", clamp("y").alias("r0"), clamp("x").alias("c0"))
+
+
+#: Cells of a chip's side.
+CHIP = 8
+_CHIPS_SQL = f"""firsts AS (SELECT fuel, min(y * 1000000 + x) AS place FROM px WHERE fuel >= 0 GROUP BY fuel),
+    w AS (SELECT fuel AS k, least(greatest(place // 1000000 - {CHIP // 2}, 0), s - {CHIP}) AS r0, least(greatest(place % 1000000 - {CHIP // 2}, 0), s - {CHIP}) AS c0 FROM firsts, dims),
+    chip AS (SELECT k, r0, c0, y - r0 AS row, x - c0 AS col, fuel, floor(least(greatest(coalesce(red_pre, 0) / 0.30, 0), 1) * 255)::INT AS red
+        FROM w JOIN px ON y >= r0 AND y < r0 + {CHIP} AND x >= c0 AND x < c0 + {CHIP})"""
+
+
+def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, r0, c0, row, col, fuel, red): for each class the window around its first cell, moved inside the grid, and its cells
+    under the fixed stretch.  A window is an equi-join on its cells."""
+    from ..sources.images import byte_level
+
+    s = side(spark, sf_dir)
+    px = pixels(spark, sf_dir)
+    first = px.where("fuel >= 0").groupBy("fuel").agg(F.min(F.struct("y", "x")).alias("at"))
+    clamp = lambda c: F.least(F.greatest(c - CHIP // 2, F.lit(0)), F.lit(s - CHIP))
+    windows = first.select(F.col("fuel").alias("k"), clamp(F.col("at.y")).alias("r0"), clamp(F.col("at.x")).alias("c0"))
+    spots = windows.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(CHIP - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(CHIP - 1))))
+    spots = spots.select("k", "r0", "c0", F.col("row").cast("long"), F.col("col").cast("long"), (F.col("r0") + F.col("row")).alias("y"), (F.col("c0") + F.col("col")).alias("x"))
+    return spots.join(px, ["y", "x"]).select("k", "r0", "c0", "row", "col", "fuel", byte_level(F.col("red_pre")).alias("red"))
+
+
+@query("k13_fuel_chips", f"WITH {_CHIPS_SQL} SELECT k, row, col, fuel, red FROM chip", "px", "dims")
+def k13c(spark, sf_dir):
+    """The cells of each class's chip."""
+    return chips(spark, sf_dir).select("k", "row", "col", "fuel", "red")
+
+
+@query(
+    "k13_fuel_meta",
+    f"""WITH {_CHIPS_SQL} SELECT '{{"size":{CHIP},"classes":[' || string_agg('{{"code":' || k || ',"row":' || r0 || ',"col":' || c0 || ',"cells":' || n || ',"purity":' || purity || '}}', ',' ORDER BY k) || ']}}' AS document
+    FROM (SELECT k, any_value(r0) AS r0, any_value(c0) AS c0, count(*) AS n, round_even(sum((fuel = k)::INT)::DOUBLE / count(*), 3) AS purity FROM chip GROUP BY k)""",
+    "px", "dims",
+)
+def k13m(spark, sf_dir):
+    """One document: where each chip was cut and how much of it is its class, counted again on the cut."""
+    pure = F.bround(F.sum((F.col("fuel") == F.col("k")).cast("double")) / F.count(F.lit(1)), 3)
+    each = chips(spark, sf_dir).groupBy("k", "r0", "c0").agg(F.count(F.lit(1)).alias("cells"), pure.alias("purity"))
+    entry = F.struct(F.col("k").alias("code"), F.col("r0").alias("row"), F.col("c0").alias("col"), "cells", "purity")
+    listed = each.agg(F.array_sort(F.collect_list(entry)).alias("classes"))
+    return listed.select(F.to_json(F.struct(F.lit(CHIP).alias("size"), "classes")).alias("document"))

@@ -14,7 +14,12 @@ from .registry import query
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.fire_weather_index(ops.noon_rows(hourly(spark, sf_dir).withColumn("station", F.lit(1))))
+    return ops.fire_weather_index(ops.noon_rows(stations(spark, sf_dir), ["station"]))
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly record with its station: there is one."""
+    return hourly(spark, sf_dir).withColumn("station", F.lit(1))
 
 
 NOON_SQL = """SELECT ts, temp, rh, wind, rain24, row_number() OVER (ORDER BY ts) AS k FROM (
@@ -57,7 +62,7 @@ fwi AS (SELECT date_trunc('day', ts)::TIMESTAMP AS date, round_even(rain, 2) AS
 
 @query("w1_rolling_rain", "SELECT ts, round_even(sum(precip) OVER (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS rain24 FROM hourly", "hourly")
 def w1(spark, sf_dir):
-    return ops.rolling_rain(hourly(spark, sf_dir)).select("ts", F.bround("rain24", 6).alias("rain24"))
+    return ops.rolling_rain(stations(spark, sf_dir), ["station"]).select("ts", F.bround("rain24", 6).alias("rain24"))
 
 
 @query("w2_fwi", FWI_SQL + "SELECT date, rain24, ffmc, dmc, dc, isi, bui, fwi FROM fwi", "hourly")
@@ -76,11 +81,15 @@ def r11(spark, sf_dir):
     return daily(spark, sf_dir).select("date", fw.danger_class(F.col("fwi")).alias("danger"))
 
 
-@query("g16_monthly_mean_rank", "WITH m AS (SELECT month(ts)::INT AS month, day(ts)::INT AS day, round_even(sum(round_even(temp * 100, 0)::BIGINT) / count(*) / 100, 2) AS mean FROM hourly GROUP BY 1, 2) SELECT month, day, mean, ((SELECT count(*) FROM m b WHERE b.mean < a.mean) + 1)::BIGINT AS rank FROM m a", "hourly")
+@query(
+    "g16_summer_mean_rank",
+    """WITH m AS (SELECT year(o_orderdate)::INT AS year, round_even(sum(round_even(o_totalprice * 100, 0)::BIGINT) / count(*) / 100, 2) AS mean FROM orders WHERE month(o_orderdate) IN (6, 7, 8) GROUP BY 1)
+    SELECT year, mean, ((SELECT count(*) FROM m b WHERE b.mean < a.mean) + 1)::BIGINT AS rank FROM m a""",
+)
 def g16(spark, sf_dir):
-    cents = F.bround(F.col("temp") * 100).cast("long")
-    means = hourly(spark, sf_dir).groupBy(F.month("ts").alias("month"), F.day("ts").alias("day")).agg(F.bround(F.sum(cents) / F.count(F.lit(1)) / 100, 2).alias("mean"))
-    return means.withColumn("rank", F.rank().over(Window.orderBy("mean")).cast("long"))
+    """Mean of June to August by year, and the year's rank from the lowest; the record of many years is that of orders."""
+    days = read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("value"))
+    return ops.season_means(days, "date", "value")
 
 
 @query("g17_percent_below", "SELECT round_even(avg((temp < t)::INT) * 100, 2) AS pct_below FROM hourly, (SELECT temp AS t FROM hourly ORDER BY ts DESC LIMIT 1)", "hourly")

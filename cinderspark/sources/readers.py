@@ -97,3 +97,23 @@ def feature_collection(path_or_df: DataFrame, properties: str, column: str = "va
     """Features of GeoJSON collections given as text: geometry type, coordinates as JSON, and the properties."""
     shape = f"struct<features:array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<{properties}>>>>"
     return path_or_df.select(F.explode(F.from_json(column, shape)["features"]).alias("f")).select("f.geometry.type", "f.geometry.coordinates", "f.properties.*")
+
+
+def landed_pages(pages: DataFrame, count: int, column: str = "value") -> DataFrame:
+    """(page, feature, truncated) of paged answers landed as JSON text, (page, value), ``count`` features to a full page.
+
+    Pages after the first that is short or absent don't count.  Where none is short the service may hold more:
+    ``truncated``.  An empty first page is an error.
+    """
+    listed = pages.select("page", F.coalesce(F.from_json(column, "struct<features:array<string>>")["features"], F.array().cast("array<string>")).alias("f"))
+    sizes = listed.select("page", F.size("f").alias("n"))
+    full = sizes.where(F.col("n") >= count).select((F.col("page") + 1).alias("page"))
+    # pages that follow a full one, or start the run, and aren't full themselves; the first of them is the last that counts
+    starts = full.unionByName(pages.sparkSession.createDataFrame([(0,)], "page int")).distinct()
+    ends = starts.join(sizes.where(F.col("n") >= count), "page", "left_anti").agg(F.min("page").alias("last"))
+    first = sizes.where("page = 0").agg(F.coalesce(F.max("n"), F.lit(0)).alias("first"))
+    known = listed.crossJoin(F.broadcast(ends.crossJoin(first))).where("page <= last")
+    cut = known.groupBy().agg(F.max("page").alias("top"), F.first("last").alias("end")).select((F.col("top") < F.col("end")).alias("truncated"))
+    some = F.when(F.col("first") > 0, F.col("f")).otherwise(F.raise_error(F.lit("the service's first page is empty")).cast("array<string>"))
+    rows = known.select("page", F.explode(some).alias("feature"))
+    return rows.crossJoin(F.broadcast(cut)).select("page", "feature", "truncated")

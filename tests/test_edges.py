@@ -52,3 +52,37 @@ def test_paged_features(spark, tmp_path):
     assert sorted((r.page, int(r.id)) for r in got) == [(0, 0), (0, 1), (0, 2), (1, 10), (1, 11), (1, 12), (2, 20)]
     assert not any(r.truncated for r in got)
     assert load(2).where("truncated").count() == 3
+    every = spark.read.format("paged_features").option("url", f"file://{tmp_path}/none/{{page}}.json file://{tmp_path}/{{page}}.json").option("count", 3).option("wait", 0)
+    assert every.load().count() == 7  # a mirror that fails hands over, and the pages end where one is short
+    for n in range(2, 9):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"features": [{"id": 10 * n + k} for k in range(3)]}))
+    assert every.load().count() == 27
+    (tmp_path / "0.json").write_text('{"features": []}')
+    with pytest.raises(Exception, match="empty"):
+        every.load().count()
+
+
+def test_landed_pages(spark):
+    from cinderspark.sources import readers
+
+    doc = lambda n: json.dumps({"features": [{"id": k} for k in range(n)]})
+    made = lambda *sizes: readers.landed_pages(spark.createDataFrame([(p, doc(n)) for p, n in sizes], "page int, value string"), 3)
+    got = lambda rows: (rows.count(), {r.truncated for r in rows.collect()})
+    assert got(made((0, 3), (1, 3), (2, 1))) == (7, {False})
+    assert got(made((0, 3), (1, 2), (2, 3))) == (5, {False})  # what follows a short page doesn't count
+    assert got(made((0, 3), (2, 3))) == (3, {True}) and got(made((0, 3), (1, 3))) == (6, {True})
+    assert got(made((0, 1))) == (1, {False})
+    with pytest.raises(Exception, match="empty"):
+        made((0, 0), (1, 3)).collect()
+
+
+def test_scenes_are_written_once(spark, tmp_path):
+    from cinderspark.sources import sinks
+
+    cells = spark.createDataFrame([(s, y, 0, y % 2, 0.5) for s in ("a", "b") for y in range(3)], "scene_id string, y long, x long, scl int, nir double")
+    path = str(tmp_path / "scenes")
+    assert [sinks.write_scenes_once(cells.where("scene_id = 'a'"), path, "scl", ["nir"]), sinks.write_scenes_once(cells, path, "scl", ["nir"]), sinks.write_scenes_once(cells, path, "scl", ["nir"])] == [1, 1, 0]
+    assert spark.read.parquet(f"{path}/scenes").count() == 6
+    assert {r.scene_id: r.document for r in spark.read.json(f"{path}/sidecars").collect()}["a"] == '{"pixels":3,"scl_pct":{"0":66.67,"1":33.33}}'
+    with pytest.raises(KeyError):
+        sinks.write_scenes_once(cells, path, "scl", ["swir"])

@@ -73,6 +73,29 @@ def test_holes_and_labels(spark):
     assert M.largest(grid(spark, ["..", ".."])).count() == 0
 
 
+def test_labels_across_tiles(spark, monkeypatch):
+    """Components of a random mask and of a spiral, cut into tiles of 3 columns, against a flood."""
+    monkeypatch.setattr(M, "TILE", 3)
+    rng = np.random.default_rng(5)
+    spiral = ["###########", "..........#", "#########.#", "#.......#.#", "#.#####.#.#", "#.#...#.#.#", "#.###.#.#.#", "#.....#.#.#", "#######.#.#", "........#.#", "#########.#"]
+    masks = [rng.random((13, 16)) < p for p in (0.6,)] + [np.array([[c == "#" for c in r] for r in spiral])]
+    for m in masks:
+        cells = spark.createDataFrame([(y, x, bool(v)) for (y, x), v in np.ndenumerate(m)], "y long, x long, m boolean")
+        for diagonal in (False, True):
+            near = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if diagonal or abs(dy) + abs(dx) == 1]
+            want, label = {}, None
+            for start in map(tuple, np.argwhere(m)):
+                if start in want:
+                    continue
+                label, todo = (int(start[0]) << 31) + int(start[1]), [start]
+                while todo:
+                    y, x = todo.pop()
+                    if (y, x) not in want and 0 <= y < m.shape[0] and 0 <= x < m.shape[1] and m[y, x]:
+                        want[y, x] = label
+                        todo += [(y + dy, x + dx) for dy, dx in near]
+            assert {(r.y, r.x): r.label for r in M.label(cells, diagonal).collect()} == {(int(y), int(x)): v for (y, x), v in want.items()}
+
+
 def test_distance(spark):
     rng = np.random.default_rng(2)
     m = rng.random((12, 17)) < 0.05
@@ -156,7 +179,8 @@ def test_streaming_index_equals_batch(spark, tmp_path):
     source.mkdir()
     ordered = frame.sort_values(["ts", "station"])
     for k in range(4):
-        ordered.iloc[k * 20 : (k + 1) * 20].astype({"ts": "datetime64[us]"}).to_parquet(source / f"{k}.parquet")
+        again = ordered.iloc[:2] if k == 2 else ordered.iloc[:0]  # a day that was folded before comes again
+        pd.concat([again, ordered.iloc[k * 20 : (k + 1) * 20]]).astype({"ts": "datetime64[us]"}).to_parquet(source / f"{k}.parquet")
     batch = fireweather.fire_weather_index(spark.createDataFrame(frame)).toPandas()
     rows = spark.readStream.schema("station string, ts timestamp, temp double, rh double, wind double, rain24 double").option("maxFilesPerTrigger", 1).parquet(str(source))
     q = stream.streaming_fwi(rows).writeStream.format("memory").queryName("fwi_stream").outputMode("append").trigger(availableNow=True).start()
@@ -164,6 +188,7 @@ def test_streaming_index_equals_batch(spark, tmp_path):
     got = spark.table("fwi_stream").toPandas().sort_values(["station", "ts"])
     want = batch.sort_values(["station", "date"])
     assert got["fwi"].tolist() == want["fwi"].tolist() and got["dc"].tolist() == want["dc"].tolist()
+    assert got.groupby("station")["late"].max().tolist() == [1, 1] and got["late"].min() == 0
 
 
 def test_streaming_windows_and_first_readings(spark, tmp_path):
@@ -231,12 +256,28 @@ def test_places(spark):
     assert got == {"Ville": ("town", 0, 12000, "place"), "Petit": ("village", 3, 120, "place"), "Mont A": ("sector", 5, 0, "landmark"), "Mont B": ("sector", 5, 0, "landmark"), "ville!": ("hamlet", 4, 700, "place")}
     merged = L.first_by_name(made)
     assert {r.name for r in merged.collect()} == {"Ville", "Petit", "Mont A", "Mont B"}
-    assert [r.name for r in L.thin(merged).collect()] in (["Ville", "Petit", "Mont A"], ["Ville", "Petit", "Mont B"])  # the peaks are 11 m apart
-    only = merged.where("src = 'landmark'")
-    assert L.thin(only).count() == 1
+    one_map = merged.withColumn("map", F.lit(1))
+    assert [r.name for r in L.thin(one_map, "map").collect()] in (["Ville", "Petit", "Mont A"], ["Ville", "Petit", "Mont B"])  # the peaks are 11 m apart
+    only = one_map.where("src = 'landmark'")
+    assert L.thin(only, "map").count() == 1
+    assert [r.name for r in L.thin(one_map, "map", cap=1).collect()] == ["Ville"]
+    both = one_map.unionByName(only.withColumn("map", F.lit(2)))
+    assert sorted((r.map, r.name.split()[0]) for r in L.thin(both, "map").collect()) == [(1, "Mont"), (1, "Petit"), (1, "Ville"), (2, "Mont")]
+    assert one(spark, s=L.sheet(F.lit(48.3), F.lit(-2.5)))["s"] == "48/-4"
     assert one(spark, p=T.population(F.lit("1234 (2019)")), q=T.population(F.lit(None).cast("string")), s=T.slug(F.lit("Forêt fermée / conifères"))) == {"p": 12342019, "q": 0, "s": "foret_fermee___coniferes"}
 
 
+def test_slugs_fold_as_decomposition_does(spark):
+    import unicodedata
+
+    names = ["Forêt fermée / conifères", "Nguyễn Ái Quốc", "ﬁne ﬂow ½ ﷺ", "Łódź", "Ⅷ ① ㎏ ㍿", "ａｂｃ", "straße", "日本 x", "𝐀𝐁", "", " a  b ", "İstanbul"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", T.ascii_fold(F.col("name")).alias("folded"), T.slug(F.col("name")).alias("slug"))
+    for r in rows.collect():
+        want = unicodedata.normalize("NFKD", r.name).encode("ascii", "ignore").decode()
+        assert r.folded == want, r.name
+        assert r.slug == "_".join(want.lower().split()).replace("/", "_")
+
+
 def test_readers_and_sinks(spark, tmp_path):
     item = '{"features":[{"id":"a","bbox":[2.0,48.0,2.3,48.3],"properties":{"datetime":"2026-07-10T10:00:00Z","eo:cloud_cover":12.5},"assets":{"red":{"href":"r"}}}]}'
     items = readers.stac_items(spark.createDataFrame([(item,)], "value string"))
@@ -256,14 +297,22 @@ def test_readers_and_sinks(spark, tmp_path):
 def test_exact_quantiles(spark, monkeypatch):
     from cinderspark.operators import quantiles as Q
 
-    monkeypatch.setattr(Q, "MOST_VALUES", 300)
+    monkeypatch.setattr(Q, "PARTS", 7)  # many rounds
     rng = np.random.default_rng(0)
-    frame = pd.DataFrame({"k": rng.integers(0, 2, 4000), "v": np.round(rng.normal(size=4000), 3)})
+    frame = pd.DataFrame({"k": rng.integers(0, 3, 4000), "v": np.round(rng.normal(size=4000), 3)})
     frame.loc[frame.k == 1, "v"] = rng.choice([1.0, 2.0, 2.0, 2.0], (frame.k == 1).sum())  # a value with most rows
+    frame.loc[frame.k == 2, "v"] = rng.choice([-1.7e308, 5e-324, 1e-323, 0.0, 1.7e308], (frame.k == 2).sum())  # widest and narrowest brackets
+    frame["w"] = np.arange(4000.0)
     qs = [0.0, 0.02, 0.5, 0.9, 1.0]
-    rows = spark.createDataFrame(frame).unionByName(spark.createDataFrame([(0, None), (7, None)], "k long, v double"))
-    for small in (10**6,):
-        got = {r.k: r.quantiles for r in Q.exact_quantiles(rows, ["k"], "v", qs, small).collect()}
+    more = [(0, None, None), (7, None, 1.0), (None, 4.0, None), (None, 8.0, None)]
+    rows = spark.createDataFrame(frame).unionByName(spark.createDataFrame(more, "k long, v double, w double"))
+    for small in (10**6, 10, 0):
+        got = {r.k: r for r in Q.exact_quantiles(rows, ["k"], {"v": qs, "w": [0.25]}, small).collect()}
         for k in (0, 1):
-            assert got[k] == pytest.approx(np.percentile(frame.v[frame.k == k], [100 * q for q in qs]).tolist())
-        assert got[7] == [None] * 5
+            assert got[k].v == pytest.approx(np.percentile(frame.v[frame.k == k], [100 * q for q in qs]).tolist())
+            assert got[k].w == pytest.approx([np.percentile(frame.w[frame.k == k], 25)])
+        assert got[2].v[0] == -1.7e308 and got[2].v[-1] == 1.7e308 and got[2].v[2] in (5e-324, 1e-323, 0.0)
+        assert got[7].v == [None] * 5 and got[7].w == [1.0]
+        assert got[None].v == pytest.approx([4.0, 4.08, 6.0, 7.6, 8.0]) and got[None].w == [None]
+        whole = Q.exact_quantiles(rows, [], {"w": [0.5]}, small).collect()
+        assert [r.w for r in whole] == [[pytest.approx(np.median([*frame.w, 1.0]))]]
