@@ -48,7 +48,8 @@ def duff(temp: float, rh: float, rain: float, before: float, month: int) -> floa
             slope = 14 - 1.3 * log(before) if before <= 65 else 6.2 * log(before) - 17.2
         moisture += 1000 * net / (48.77 + slope * net)
         before = max(0.0, 244.72 - 43.43 * log(moisture - 20))
-    return before + 1.894e-4 * (max(temp, -1.1) + 1.1) * (100 - rh) * DUFF_DAYS[month - 1]
+    rate = 1.894 * (max(temp, -1.1) + 1.1) * (100 - rh) * DUFF_DAYS[month - 1] * 1e-6  # equation 16
+    return before + 100 * rate  # 17
 
 
 def drought(temp: float, rain: float, before: float, month: int) -> float:
@@ -61,17 +62,18 @@ def drought(temp: float, rain: float, before: float, month: int) -> float:
 
 def initial_spread(ffmc: float, wind: float) -> float:
     m = 147.2 * (101 - ffmc) / (59.5 + ffmc)
-    return 19.1152 * exp(0.05039 * wind) * exp(-0.1386 * m) * (1 + m**5.31 / 4.93e7)
+    of_wind = exp(0.05039 * wind)  # equation 24
+    of_fuel = 91.9 * exp(-0.1386 * m) * (1 + m**5.31 / 4.93e7)  # 25
+    return 0.208 * of_wind * of_fuel  # 26
 
 
 def buildup(dmc: float, dc: float) -> float:
-    """Clamped at zero: a negative value has no real fractional power."""
-    if dmc <= 0 and dc <= 0:
+    """Equations 27a and 27b; a code below zero counts as zero, and so does a result, whose power is taken next."""
+    p, d = max(dmc, 0.0), max(dc, 0.0)
+    if not p:
         return 0.0
-    total = dmc + 0.4 * dc
-    if dmc <= 0.4 * dc:
-        return max(0.8 * dmc * dc / total, 0.0) if total > 0 else 0.0
-    return max(dmc - (1 - 0.8 * dc / total) * (0.92 + (0.0114 * dmc) ** 1.7), 0.0)
+    share = 0.8 * d / (p + 0.4 * d)
+    return max(p * share if p <= 0.4 * d else p - (1 - share) * (0.92 + (0.0114 * p) ** 1.7), 0.0)
 
 
 def fire_weather(isi: float, bui: float) -> float:

@@ -26,53 +26,53 @@ def _mask_sql(over: float) -> str:
     return _M.format(t=over)
 
 
-def _dilate_sql(src: str, k: int, out: str) -> str:
+def dilate_sql(src: str, k: int, out: str) -> str:
     return f"""{out}_r AS (SELECT y, x, max(m) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS m FROM {src}),
     {out} AS (SELECT y, x, max(m) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS m FROM {out}_r)"""
 
 
-def _erode_sql(src: str, k: int, out: str) -> str:
+def erode_sql(src: str, k: int, out: str) -> str:
     n = 2 * k + 1
     return f"""{out}_r AS (SELECT y, x, sum(m::INT) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) = {n} AS m FROM {src}),
     {out} AS (SELECT y, x, sum(m::INT) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) = {n} AS m FROM {out}_r)"""
 
 
-def _reach_sql(src: str, near: str, out: str) -> str:
+def reach_sql(src: str, near: str, out: str) -> str:
     """Every True cell with the cells that it reaches, by repeated steps."""
     return f"""{out} AS (SELECT y, x, y AS ry, x AS rx FROM {src} WHERE m UNION SELECT r.y, r.x, c.y, c.x FROM {out} r JOIN {src} c ON c.m AND {near})"""
 
 
-_N4 = "abs(c.y - r.ry) + abs(c.x - r.rx) = 1"
-_N8 = "abs(c.y - r.ry) <= 1 AND abs(c.x - r.rx) <= 1"
-_LABELS = "l AS (SELECT y, x, min(ry * 2147483648 + rx)::BIGINT AS label FROM reach GROUP BY y, x)"
+NEAR4 = "abs(c.y - r.ry) + abs(c.x - r.rx) = 1"
+NEAR8 = "abs(c.y - r.ry) <= 1 AND abs(c.x - r.rx) <= 1"
+LABELS_SQL = "l AS (SELECT y, x, min(ry * 2147483648 + rx)::BIGINT AS label FROM reach GROUP BY y, x)"
 
 
-@query("a1_closing", f"WITH {_mask_sql(SPARSE_T)}, {_dilate_sql('m', 3, 'd')}, {_erode_sql('d', 3, 'c')} SELECT y, x FROM c WHERE m", "dense")
+@query("a1_closing", f"WITH {_mask_sql(SPARSE_T)}, {dilate_sql('m', 3, 'd')}, {erode_sql('d', 3, 'c')} SELECT y, x FROM c WHERE m", "dense")
 def a1(spark, sf_dir):
     return M.close(mask(spark, sf_dir, SPARSE_T), 3).where("m").select("y", "x")
 
 
-@query("a1_dilation", f"WITH {_mask_sql(SPARSE_T)}, {_dilate_sql('m', 4, 'd')} SELECT y, x FROM d WHERE m", "dense")
+@query("a1_dilation", f"WITH {_mask_sql(SPARSE_T)}, {dilate_sql('m', 4, 'd')} SELECT y, x FROM d WHERE m", "dense")
 def a1d(spark, sf_dir):
     return M.dilate(mask(spark, sf_dir, SPARSE_T), 4).where("m").select("y", "x")
 
 
-@query("a6_erosion", f"WITH {_mask_sql(-0.1)}, {_erode_sql('m', 1, 'e')} SELECT y, x FROM e WHERE m", "dense")
+@query("a6_erosion", f"WITH {_mask_sql(-0.1)}, {erode_sql('m', 1, 'e')} SELECT y, x FROM e WHERE m", "dense")
 def a6(spark, sf_dir):
     return M.erode(mask(spark, sf_dir, -0.1), 1).where("m").select("y", "x")
 
 
-@query("a3_label4", f"WITH RECURSIVE {_mask_sql(SPARSE_T)}, {_reach_sql('m', _N4, 'reach')}, {_LABELS} SELECT y, x, label FROM l", "dense")
+@query("a3_label4", f"WITH RECURSIVE {_mask_sql(SPARSE_T)}, {reach_sql('m', NEAR4, 'reach')}, {LABELS_SQL} SELECT y, x, label FROM l", "dense")
 def a3(spark, sf_dir):
     return M.label(mask(spark, sf_dir, SPARSE_T)).select("y", "x", "label")
 
 
-@query("a4_largest8", f"WITH RECURSIVE {_mask_sql(SPARSE_T)}, {_reach_sql('m', _N8, 'reach')}, {_LABELS} SELECT y, x FROM l WHERE label = (SELECT label FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)", "dense")
+@query("a4_largest8", f"WITH RECURSIVE {_mask_sql(SPARSE_T)}, {reach_sql('m', NEAR8, 'reach')}, {LABELS_SQL} SELECT y, x FROM l WHERE label = (SELECT label FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)", "dense")
 def a4(spark, sf_dir):
     return M.largest(mask(spark, sf_dir, SPARSE_T)).select("y", "x")
 
 
-@query("a5_size_filter", f"WITH RECURSIVE {_mask_sql(SPARSE_T)}, {_reach_sql('m', _N4, 'reach')}, {_LABELS} SELECT y, x FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) >= 3)", "dense")
+@query("a5_size_filter", f"WITH RECURSIVE {_mask_sql(SPARSE_T)}, {reach_sql('m', NEAR4, 'reach')}, {LABELS_SQL} SELECT y, x FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) >= 3)", "dense")
 def a5(spark, sf_dir):
     return M.keep_large(mask(spark, sf_dir, SPARSE_T), 3).where("m").select("y", "x")
 
@@ -87,8 +87,8 @@ def a2(spark, sf_dir):
     return M.fill_holes(mask(spark, sf_dir)).where("m").select("y", "x")
 
 
-_FOOT = f"""WITH RECURSIVE {_mask_sql(SPARSE_T)}, {_dilate_sql('m', 1, 'd')}, {_erode_sql('d', 1, 'cl')}, {_HOLES.format(src='cl')},
-    filled AS (SELECT y, x, (y, x) NOT IN (SELECT (ry, rx) FROM o) AS m FROM cl), {_reach_sql('filled', _N4, 'reach')}, {_LABELS}
+_FOOT = f"""WITH RECURSIVE {_mask_sql(SPARSE_T)}, {dilate_sql('m', 1, 'd')}, {erode_sql('d', 1, 'cl')}, {_HOLES.format(src='cl')},
+    filled AS (SELECT y, x, (y, x) NOT IN (SELECT (ry, rx) FROM o) AS m FROM cl), {reach_sql('filled', NEAR4, 'reach')}, {LABELS_SQL}
     SELECT y, x FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) >= 6)"""
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, raster as R, weather as fw
-from ..operators import fireweather as ops
+from ..operators import fireweather as ops, morphology as M
+from ..scratch import staged
 from ..sources.derived import hourly
 from ..sources.tables import read
 from .raster_plans import delta
 from .registry import query
+from .shape_plans import LABELS_SQL, NEAR4, dilate_sql, erode_sql, reach_sql
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,22 +169,31 @@ def f23(spark, sf_dir):
     return e.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.month("ts").alias("month"), F.hour("ts").alias("hour"), F.date_trunc("day", "ts").alias("midnight"))
 
 
-SPREAD_SQL = """WITH m AS (SELECT fuel AS sector, y, x, coalesce(dnbr >= 0.10, false) AND ok AS early, coalesce(dnbr >= 0.10, false) AND NOT ok AS late FROM delta WHERE fuel >= 0),
-    c AS (SELECT sector, count(*) FILTER (early) AS n_early, count(*) FILTER (late) AS n_late,
-        sum(CASE WHEN late THEN y END) / count(*) FILTER (late) - sum(CASE WHEN early THEN y END) / count(*) FILTER (early) AS dr,
-        sum(CASE WHEN late THEN x END) / count(*) FILTER (late) - sum(CASE WHEN early THEN x END) / count(*) FILTER (early) AS dc FROM m GROUP BY sector)
-    SELECT sector, n_early, n_late, round_even((degrees(atan2(dc, -dr)) + 360) % 360, 3) AS bearing, round_even(sqrt(dr * dr + dc * dc) * 10, 3) AS metres FROM c WHERE n_early > 0 AND n_late > 0"""
+#: Sectors are components of the closed scar; what one must have burned, in pixels, and on each of its two fronts.
+SECTOR_CLOSE, SECTOR_PX, FRONT_PX = 1, 5, 2
+SPREAD_SQL = f"""WITH RECURSIVE m AS (SELECT y, x, coalesce(dnbr >= 0.27, false) AS m FROM delta), {dilate_sql("m", SECTOR_CLOSE, "d")}, {erode_sql("d", SECTOR_CLOSE, "c")},
+    {reach_sql("c", NEAR4, "reach")}, {LABELS_SQL},
+    b AS (SELECT label, y, x, coalesce(dnbr >= 0.27, false) AS burned, ok FROM l JOIN delta USING (y, x)),
+    v AS (SELECT label AS sector, count(*) AS closed_px, count(*) FILTER (burned) AS n, count(*) FILTER (burned AND ok) AS n_early, count(*) FILTER (burned AND NOT ok) AS n_late,
+        sum(CASE WHEN burned AND NOT ok THEN y END) / count(*) FILTER (burned AND NOT ok) - sum(CASE WHEN burned AND ok THEN y END) / count(*) FILTER (burned AND ok) AS dr,
+        sum(CASE WHEN burned AND NOT ok THEN x END) / count(*) FILTER (burned AND NOT ok) - sum(CASE WHEN burned AND ok THEN x END) / count(*) FILTER (burned AND ok) AS dc FROM b GROUP BY label)
+    SELECT sector, closed_px, n AS burned_px, n_early, n_late, round_even((degrees(atan2(dc, -dr)) + 360) % 360, 3) AS bearing, round_even(sqrt(dr * dr + dc * dc) * 10, 3) AS metres
+    FROM v WHERE n >= {SECTOR_PX} AND n_early >= {FRONT_PX} AND n_late >= {FRONT_PX}"""
 
 
 @query("g26_spread_vector", SPREAD_SQL, "delta")
 def g26(spark, sf_dir):
-    low, ok = R.at_least(F.col("dnbr"), R.LOW), F.col("ok")
-    m = delta(spark, sf_dir).where("fuel >= 0").select(F.col("fuel").alias("sector"), "y", "x", (low & ok).alias("early"), (low & ~ok).alias("late"))
+    """How far and which way each sector's late pixels lie from its early ones; sectors are components of the closed scar."""
+    px = staged(delta(spark, sf_dir).select("y", "x", R.at_least(F.col("dnbr")).alias("m"), "ok"), "scar")
+    cells = M.label(M.close(px.select("y", "x", "m"), SECTOR_CLOSE)).withColumnRenamed("label", "sector")
+    both = cells.join(px, ["y", "x"]).select("sector", "y", "x", "m", (F.col("m") & F.col("ok")).alias("early"), (F.col("m") & ~F.col("ok")).alias("late"))
     mean = lambda c, w: F.sum(F.when(F.col(w), F.col(c))) / F.nullif(F.count_if(F.col(w)), F.lit(0))
-    c = m.groupBy("sector").agg(
-        F.count_if("early").alias("n_early"), F.count_if("late").alias("n_late"), (mean("y", "late") - mean("y", "early")).alias("dr"), (mean("x", "late") - mean("x", "early")).alias("dc")
-    )
-    return c.where("n_early > 0 AND n_late > 0").select("sector", "n_early", "n_late", F.bround(geo.compass(F.col("dc"), -F.col("dr")), 3).alias("bearing"), F.bround(F.hypot("dr", "dc") * 10, 3).alias("metres"))
+    v = both.groupBy("sector").agg(
+        F.count(F.lit(1)).alias("closed_px"), F.count_if("m").alias("burned_px"), F.count_if("early").alias("n_early"), F.count_if("late").alias("n_late"),
+        (mean("y", "late") - mean("y", "early")).alias("dr"), (mean("x", "late") - mean("x", "early")).alias("dc"),
+    )
+    v = v.where((F.col("burned_px") >= SECTOR_PX) & (F.col("n_early") >= FRONT_PX) & (F.col("n_late") >= FRONT_PX))
+    return v.select("sector", "closed_px", "burned_px", "n_early", "n_late", F.bround(geo.compass(F.col("dc"), -F.col("dr")), 3).alias("bearing"), F.bround(F.hypot("dr", "dc") * 10, 3).alias("metres"))
 
 
 @query("r23_angles", "SELECT ts, (dir + 180) % 360 AS opposite, abs((dir - 50 + 180 + 360) % 360 - 180) AS diff FROM hourly", "hourly")
