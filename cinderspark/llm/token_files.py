@@ -6,7 +6,8 @@ the number of ids before it in its range, the count and the ids with the end id
 appended, in run-length encoded integer columns with row indexes, and Bloom
 filters on the document id.  Ranges are numbered in the order of ids, and files
 carry the number, so a range's place in the whole stream is the sum of the totals
-before it, even if the writer is told to cut ranges into several files.  Readers
+before it, even if the writer is told to cut ranges into several files; these totals
+are written beside the files, one row a range, as the last step.  Readers
 split files by stripe, and a filter on document ids skips files, stripes and row
 groups by their statistics and Bloom filters.
 
@@ -35,6 +36,8 @@ from .runtime import scratch_path
 FILE_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
 #: Rows of one id and text are dealt over so many keys, so that ranges can cut between them.
 SPREAD = 1024
+#: Folder of the ranges' totals; readers of the files pass over a name that starts so.
+TOTALS = "_totals"
 SCHEMA = "doc_id long, before long, n_tokens long, ids array<int>"
 
 
@@ -77,6 +80,9 @@ def write_token_files(
         .option("compression", "zstd")
         .orc(path)
     )
+    spark = docs.sparkSession
+    written = spark.read.schema(SCHEMA).orc(path).select(_range().alias("_range"), (F.col("before") + F.col("n_tokens")).alias("_end"))
+    written.groupBy("_range").agg(F.max("_end").alias("_size")).coalesce(1).write.parquet(f"{path}/{TOTALS}")
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None) -> DataFrame:
@@ -97,13 +103,7 @@ def _range() -> Column:
 
 def _placed(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Add each range's place: one row a range is all that is sorted and joined."""
-    sizes = (
-        spark.read.schema(SCHEMA)
-        .orc(path)
-        .select(_range().alias("_range"), (F.col("before") + F.col("n_tokens")).alias("_end"))
-        .groupBy("_range")
-        .agg(F.max("_end").alias("_size"))
-    )
+    sizes = spark.read.schema("_range long, _size long").parquet(f"{path}/{TOTALS}")
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
     return rows.join(base, "_range").withColumn("start", F.col("_base") + F.col("before")).drop("_range", "_base", "before")

@@ -16,7 +16,7 @@ tokenizers = pytest.importorskip("tokenizers")
 vocabularies = pytest.importorskip("public_tokenizers")
 
 DOCS = "doc_id long, text string, n_bytes string, ids string, _text string, digest string"
-ODD = ["a", "B", "'s", "'LL", " ", "  ", "\n", "\t", " \n", "\n ", "\r\n", "é", "é", "ß", "Σ", "ΑΣ", "İ", " ", "\xa0", "\x1c", "́",
+ODD = ["x. ", "Y, ", "). ", "3. ", "É. ", "́. ", "_, ", "㉈. ", "a", "B", "'s", "'LL", " ", "  ", "\n", "\t", " \n", "\n ", "\r\n", "é", "é", "ß", "Σ", "ΑΣ", "İ", " ", "\xa0", "\x1c", "́",
        "1", "½", "!", "...", "<|endoftext|>", "<|startoftext|>", "<|", "日本", "😀", "‍", "ǅ", "ﬁ", "Å", "x" * 60]
 
 
