@@ -77,5 +77,32 @@ def class_png(pixels: DataFrame, path: str, code: str, height: int, width: int,
     return write_png(path, np.concatenate([rgb, np.where(known, 255, 0)[..., None]], -1))
 
 
+def contour(mask: DataFrame, height: int, width: int) -> np.ndarray:
+    """Cells of a mask (y, x, m) that have a neighbour outside it, as an array of booleans."""
+    m = to_array(mask.select("y", "x", F.col("m").cast("int").alias("m")), ["m"], height, width)[..., 0] > 0
+    wide = np.pad(m, 1)
+    inside = wide[:-2, 1:-1] & wide[2:, 1:-1] & wide[1:-1, :-2] & wide[1:-1, 2:]
+    return m & ~inside
+
+
+def overlay(rgba: np.ndarray, cells: np.ndarray, colour: str) -> np.ndarray:
+    """A picture with some cells in a colour, opaque; three bands become four."""
+    out = rgba if rgba.shape[2] == 4 else np.concatenate([rgba, np.full((*rgba.shape[:2], 1), 255, rgba.dtype)], 2)
+    out = out.copy()
+    out[cells] = [*(int(colour[k : k + 2], 16) for k in (1, 3, 5)), 255]
+    return out
+
+
+def marks(points: DataFrame, height: int, width: int, radius: int = 1) -> np.ndarray:
+    """Cells within ``radius`` of points (row_f, col_f), as squares cut at the picture's edge; at most MOST_CELLS points."""
+    at = points.select(F.floor("row_f").cast("long").alias("y"), F.floor("col_f").cast("long").alias("x")).distinct()
+    frame = at.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)).limit(MOST_CELLS).toPandas()
+    out = np.zeros((height, width), bool)
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            out[np.clip(frame["y"] + dy, 0, height - 1), np.clip(frame["x"] + dx, 0, width - 1)] = True
+    return out
+
+
 def data_uri(path: str | Path, kind: str = "image/png") -> str:
     return f"data:{kind};base64,{base64.b64encode(Path(path).read_bytes()).decode()}"

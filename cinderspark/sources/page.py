@@ -6,6 +6,7 @@ from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .images import data_uri
 from .sinks import payload
@@ -23,6 +24,24 @@ def html_table(df: DataFrame, order: list, rows: int = 20) -> str:
     return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
 
+def legend(entries: list[tuple[str, str]]) -> str:
+    """(label, colour) pairs as a list, escaped."""
+    items = "".join(f'<li><span style="background:{escape(c, True)}">&nbsp;</span> {escape(n)}</li>' for n, c in entries)
+    return f'<ul class="legend">{items}</ul>'
+
+
+def map_figure(picture: str, labels: DataFrame, bounds: tuple[float, float, float, float], entries: list[tuple[str, str]], caption: str) -> str:
+    """A picture (data URI) with a legend and labels (name, lat, lon) at their places, in percent of the picture's box
+    (west, south, east, north); labels outside it are left out."""
+    w, s, e, n = bounds
+    inside = labels.where(F.col("lon").between(w, e) & F.col("lat").between(s, n)).orderBy("name", "lat", "lon").limit(2 * MOST_ROWS)
+    spots = "".join(
+        f'<span style="position:absolute;left:{100 * (r.lon - w) / (e - w):.2f}%;top:{100 * (n - r.lat) / (n - s):.2f}%">{escape(r["name"])}</span>'
+        for r in inside.select("name", "lat", "lon").collect()
+    )
+    return f'<figure style="position:relative"><img src="{picture}" alt="{escape(caption, True)}">{spots}{legend(entries)}<figcaption>{escape(caption)}</figcaption></figure>'
+
+
 def build_page(template: str, tables: dict[str, str], points: DataFrame | None = None, pictures: dict[str, str] | None = None) -> str:
     """Fill ``{{name}}`` places of a template with tables, the points document and pictures as data URIs."""
     parts = dict(tables)

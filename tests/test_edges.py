@@ -43,6 +43,59 @@ def test_page(spark, tmp_path):
         page.build_page("none", {"t": ""})
 
 
+def test_overlays_and_figures(spark, tmp_path):
+    rows = ["......", ".####.", ".####.", ".####.", "......"]
+    mask = spark.createDataFrame([(y, x, c == "#") for y, r in enumerate(rows) for x, c in enumerate(r)], "y long, x long, m boolean")
+    edge = images.contour(mask, 5, 6)
+    assert ["".join("#" if v else "." for v in r) for r in edge] == ["......", ".####.", ".#..#.", ".####.", "......"]
+    points = spark.createDataFrame([(0.5, 0.2), (4.9, 5.0), (-1.0, 2.0), (9.0, 1.0)], "row_f double, col_f double")
+    spots = images.marks(points, 5, 6)
+    assert spots[:2, :2].all() and spots[3:, 4:].all() and spots.sum() == 8
+    picture = images.overlay(np.zeros((5, 6, 3), np.uint8), edge, "#ff0080")
+    assert picture.shape == (5, 6, 4) and picture[1, 1].tolist() == [255, 0, 128, 255] and picture[0, 0].tolist() == [0, 0, 0, 255]
+    labels = spark.createDataFrame([("A & B", 48.5, 2.25), ("out", 50.0, 2.2)], "name string, lat double, lon double")
+    uri = images.data_uri(images.write_png(tmp_path / "o.png", picture))
+    figure = page.map_figure(uri, labels, (2.0, 48.0, 3.0, 49.0), [("high <severity>", "#a50026")], "scar")
+    assert "left:25.00%;top:50.00%" in figure and "A &amp; B" in figure and "out" not in figure
+    assert "high &lt;severity&gt;" in figure and "<figcaption>scar" in figure
+
+
+def test_maps_are_fetched_over_mirrors(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from cinderspark.sources import maps
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            query = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            asked.append((urlparse(self.path).path, query))
+            busy = self.path.startswith("/busy")
+            self.send_response(503 if busy else 200)
+            self.end_headers()
+            self.wfile.write(b"\x89PNG rest" if query.get("FORMAT") == "image/png" else b"<ServiceException/>")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        here = f"http://127.0.0.1:{server.server_port}"
+        got = maps.fetch_map([f"{here}/busy", f"{here}/fine?key=1"], "land", (2.0, 48.0, 3.0, 48.5), 400, tmp_path / "a.png", categories=True, wait=0)
+        assert got.read_bytes() == b"\x89PNG rest" and [a for a, _ in asked] == ["/busy", "/fine"]
+        assert asked[1][1]["BBOX"] == "48.0,2.0,48.5,3.0" and asked[1][1]["HEIGHT"] == "200" and asked[1][1]["key"] == "1"
+        maps.fetch_map([f"{here}/busy"], "land", (2.0, 48.0, 3.0, 48.5), 400, tmp_path / "a.png", categories=True)  # it is there
+        assert len(asked) == 2
+        with pytest.raises(ValueError):
+            maps.fetch_map([f"{here}/fine"], "photo", (2.0, 48.0, 3.0, 48.5), 400, tmp_path / "b.jpg", wait=0)
+    finally:
+        server.shutdown()
+
+
 def test_paged_features(spark, tmp_path):
     for n, size in enumerate((3, 3, 1)):
         (tmp_path / f"{n}.json").write_text(json.dumps({"features": [{"id": 10 * n + k} for k in range(size)]}))
