@@ -44,7 +44,7 @@ FORMATS = ("parquet", "csv", "json")
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="python -m cinderspark", description="Work out the plans of a command and write their results.")
     out.add_argument("command", choices=[*COMMANDS, "list"], help="; ".join(f"{n}: {t}" for n, (t, _) in COMMANDS.items()))
-    out.add_argument("--data", default="/root/testdata/sf0.01", help="folder of the input tables")
+    out.add_argument("--data", help="folder of the input tables")
     out.add_argument("--out", default="results", help="folder to write to")
     out.add_argument("--format", choices=FORMATS, default="parquet")
     out.add_argument("--only", nargs="*", default=[], help="plans of the command to work out; all by default")
@@ -91,6 +91,8 @@ def main(args: Sequence[str] | None = None) -> int:
         for name, (about, plans) in COMMANDS.items():
             print(f"{name}: {about} ({', '.join(plans)})")
         return 0
+    if not chosen.data:
+        parser().error("--data is needed")
     spark = SparkSession.builder.appName(f"cinderspark {chosen.command}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     summary = run(spark, chosen.command, chosen.data, chosen.out, chosen.format, chosen.only, chosen.skip_done)
     spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.mode("overwrite").text(f"{chosen.out}/{chosen.command}/summary.json")

@@ -14,8 +14,9 @@ def test_commands_name_registered_plans(capsys):
     assert len(commands.COMMANDS) == 17
     assert all(p in registry.plans for _, plans in commands.COMMANDS.values() for p in plans)
     assert commands.main(["list"]) == 0 and "dnbr" in capsys.readouterr().out
-    with pytest.raises(SystemExit):
-        commands.main(["nothing"])
+    for wrong in (["nothing"], ["dnbr"]):
+        with pytest.raises(SystemExit):
+            commands.main(wrong)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the test tables are absent")
