@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cinderspark.functions import geo, raster as R, text as T, weather as fw
 from cinderspark.operators import fireweather, graph, labels as L, morphology as M, resample, sampling, spatial, zonal
+from cinderspark.plans import plume_plans
 from cinderspark.sources import readers, sinks
 from cinderspark.streaming import weather as stream
 
@@ -108,6 +109,19 @@ def test_distance(spark):
     assert {r.distance for r in M.distance(grid(spark, ["..", ".."])).collect()} == {None}
 
 
+def test_ring_contrast_is_exact_in_any_order(spark):
+    # the mean of the sixteen is 0.0005625, a tie at six digits; a floating sum misses it in some orders
+    units = [41, -3, 17, -29, 8, 33, -12, 5, 26, -7, 14, -38, 19, 2, -11, 25]
+    places = [(radius, 45 * k) for radius in (25, 60) for k in range(8)]
+    points = [(r, b, u / 10000) for (r, b), u in zip(places, units)] + [(0, -1, 0.5)]
+    rng = random.Random(3)
+    for _ in range(8):
+        rng.shuffle(points)
+        got = plume_plans.contrast(spark.createDataFrame(points, "radius int, bearing int, delta double").coalesce(1)).first()
+        assert (got.downwind, got.upwind, got.ring_mean) == (0.0003, 0.000525, 0.000562)
+    assert tuple(plume_plans.contrast(spark.createDataFrame([], "radius int, bearing int, delta double")).first()) == (None, None, None)
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)]
