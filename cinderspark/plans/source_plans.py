@@ -221,8 +221,10 @@ def k14(spark, sf_dir):
 
     features = sampled(spark, sf_dir)
     top = sampling.circuits(features).orderBy(F.desc("pct_burned"), F.desc("dnbr_median"), "area_name", "colour").limit(16)
+    # unlike bround, this keeps the sign of what rounds to zero: the table says -0.0, as its SQL does
+    median = F.rint(F.col("dnbr_median") * 1000) / 1000
     cell = lambda *parts: F.concat(*[F.concat(F.lit("<td>"), p, F.lit("</td>")) for p in parts])
-    row = F.concat(F.lit("<tr>"), cell(html_escape(F.col("area_name")), F.col("colour"), F.col("problems"), F.bround("pct_burned", 1), F.bround("dnbr_median", 3)), F.lit("</tr>"))
+    row = F.concat(F.lit("<tr>"), cell(html_escape(F.col("area_name")), F.col("colour"), F.col("problems"), F.bround("pct_burned", 1), median), F.lit("</tr>"))
     order = F.struct((-F.col("pct_burned")).alias("a"), (-F.col("dnbr_median")).alias("b"), "area_name", "colour", row.alias("row"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["row"]), "")
     html = top.agg(F.concat(F.lit("<table>"), joined(order), F.lit("</table>")).alias("html"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cinderspark.functions import geo, raster as R, text as T, weather as fw
 from cinderspark.operators import fireweather, graph, labels as L, morphology as M, resample, sampling, spatial, zonal
-from cinderspark.plans import plume_plans
+from cinderspark.plans import plume_plans, source_plans
 from cinderspark.sources import readers, sinks
 from cinderspark.streaming import weather as stream
 
@@ -122,6 +122,19 @@ def test_ring_contrast_is_exact_in_any_order(spark):
     assert tuple(plume_plans.contrast(spark.createDataFrame([], "radius int, bearing int, delta double")).first()) == (None, None, None)
 
 
+def test_page_rows_keep_the_sign_of_small_medians(spark, monkeypatch):
+    medians = {"A": -0.0003, "B": 0.0003, "C": -0.0025, "D": 0.0}
+    rows = [(10 * k + n, name, "RED", True, v, False) for k, (name, v) in enumerate(medians.items()) for n in range(5)]
+    features = spark.createDataFrame(rows, "id long, area_name string, colour string, in_aoi boolean, dnbr_median double, edge boolean")
+    monkeypatch.setattr(source_plans, "sampled", lambda spark, sf_dir: features)
+    monkeypatch.setattr(source_plans, "problems", lambda spark, sf_dir: features)
+    page = source_plans.k14(spark, "").first()
+    shown = [("B", "0.0"), ("D", "0.0"), ("A", "-0.0"), ("C", "-0.002")]
+    assert page.html == "<table>" + "".join(f"<tr><td>{a}</td><td>RED</td><td>5</td><td>0.0</td><td>{v}</td></tr>" for a, v in shown) + "</table>"
+    assert page.html_bytes == len(page.html)
+    assert "[0,0,0.0]" in page.points  # the points' zeros have no sign
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)]
