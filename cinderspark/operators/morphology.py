@@ -22,6 +22,10 @@ from .graph import connected_components
 TILE = 256
 #: Rows of the grid that a task of the distance transform takes at once.
 BAND = 64
+#: Neighbours to each side that the distance transform tries before it walks a row's lower envelope.
+NEAR = 32
+#: A squared distance, or a row, that is not known.
+UNKNOWN = 1 << 62
 
 
 def _along(by: str, order: str, k: int):
@@ -139,37 +143,81 @@ def _lower_envelope(xs: list[int], gs: list[int], at: list[int]) -> list[int]:
     return out
 
 
-def distance(mask: DataFrame, res: float = 1.0) -> DataFrame:
-    """(y, x, distance) to the nearest True cell, exact; NULL for an all-False mask.
+def _squares(above: np.ndarray, below: np.ndarray, true: np.ndarray, y0: int, xs: np.ndarray) -> np.ndarray:
+    """Squared distances of a band's cells, a row of the grid for each row; UNKNOWN if there is no True cell.
 
-    Columns first: the nearest True cell up or down.  Then each row, where the
-    lower envelope of the parabolas (x - x')^2 + g(x')^2 is walked; squares stay
-    integers to the root.  Rows are taken BAND at a time.
+    ``above`` and ``below`` are the rows of each column's nearest True cells outside the band.  Columns first.  Then a
+    row takes its neighbours at 1, 2, ... columns, until no farther one can be nearer; rows that are not done after NEAR
+    of them go to the lower envelope, so the work is linear in the width.
+    """
+    y = y0 + np.arange(len(true))[:, None]
+    up = np.maximum.accumulate(np.vstack([above, np.where(true, y, -UNKNOWN)]))[1:]
+    down = np.minimum.accumulate(np.vstack([below, np.where(true, y, UNKNOWN)[::-1]]))[:0:-1]
+    known = (up[0] > -UNKNOWN) | (down[0] < UNKNOWN)
+    column = np.full(true.shape, UNKNOWN)
+    column[:, known] = np.where(down < UNKNOWN, np.where(up > -UNKNOWN, np.minimum(y - up, down - y), down - y), y - up)[:, known] ** 2
+    out = column.copy()
+    if not known.any():
+        return out
+    todo, tried = np.arange(len(true)), 0
+    reach = min(NEAR, len(xs) - 1) if len(xs) == xs[-1] - xs[0] + 1 else 0
+    while tried < reach and len(todo := todo[out[todo].max(axis=1) > (tried + 1) ** 2]):
+        tried += 1
+        best, far = out[todo], column[todo] + tried * tried
+        np.minimum(best[:, tried:], far[:, :-tried], out=best[:, tried:])
+        np.minimum(best[:, :-tried], far[:, tried:], out=best[:, :-tried])
+        out[todo] = best
+    if tried == len(xs) - 1:
+        return out
+    todo = todo[out[todo].max(axis=1) > (tried + 1) ** 2]
+    at, places = xs.tolist(), xs[known].tolist()
+    for k in todo:
+        out[k] = _lower_envelope(places, column[k, known].tolist(), at)
+    return out
+
+
+def squared_distance(mask: DataFrame) -> DataFrame:
+    """(y, x, sq): the squared distance to the nearest True cell, exact; NULL for an all-False mask, or without a y.  One row
+    for each cell, and rows and columns may lack some of theirs.
+
+    Rows are taken BAND at a time.  What a band must know of the others is each column's nearest True cell above and
+    below it: from the first and the last one in each band, by running windows over bands.  Squares stay integers.
     """
     ship(mask.sparkSession)
+    cells = mask.select("y", "x", "m", (F.col("y") - F.pmod("y", F.lit(BAND))).alias("band"))
     here = F.when(F.col("m"), F.col("y"))
-    up = F.last(here, ignorenulls=True).over(Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(here, ignorenulls=True).over(Window.partitionBy("x").orderBy("y").rowsBetween(0, Window.unboundedFollowing))
-    g = F.least(F.col("y") - up, down - F.col("y"))
-    columns = mask.select("y", "x", g.cast("long").alias("g"), F.floor(F.col("y") / BAND).alias("band"))
-
-    def rows(cells: pa.Table) -> pa.Table:
-        y, x = cells.column("y").to_numpy(), cells.column("x").to_numpy()
-        order = np.lexsort((x, y))
-        y, x, known = y[order], x[order], cells.column("g").is_valid().to_numpy()[order]
-        square = cells.column("g").fill_null(0).to_numpy()[order] ** 2
-        cuts = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)]
-        out: list[int | None] = []
-        for s, e in zip(cuts, cuts[1:]):
-            some = known[s:e]
-            if some.any():
-                out += _lower_envelope(x[s:e][some].tolist(), square[s:e][some].tolist(), x[s:e].tolist())
-            else:
-                out += [None] * (e - s)
-        return pa.table({"y": y, "x": x, "sq": pa.array(out, pa.int64())})
+    ends = cells.groupBy("band", "x").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+    columns = ends.where("first IS NOT NULL").select("x").distinct()
+    every = ends.select("band").distinct().crossJoin(columns).join(ends, ["band", "x"], "left")
+    up = Window.partitionBy("x").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("x").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    outside = every.select(F.col("band").alias("of"), F.col("x").alias("column"), F.max("last").over(up).alias("above"), F.min("first").over(down).alias("below"))
+
+    def rows(cells: pa.Table, outside: pa.Table) -> pa.Table:
+        if cells.column("y").null_count:
+            xs = np.unique(cells.column("x").to_numpy())
+            return pa.table({"y": pa.nulls(len(xs), pa.int64()), "x": xs, "sq": pa.nulls(len(xs), pa.int64())})
+        y, x, y0 = cells.column("y").to_numpy(), cells.column("x").to_numpy(), cells.column("band")[0].as_py()
+        xs = np.union1d(x, outside.column("column").to_numpy())
+        true, given = np.zeros((BAND, len(xs)), bool), np.zeros((BAND, len(xs)), bool)
+        at = y - y0, np.searchsorted(xs, x)
+        given[at] = True
+        some = cells.column("m").fill_null(False).to_numpy()
+        true[at[0][some], at[1][some]] = True
+        above, below = np.full(len(xs), -UNKNOWN), np.full(len(xs), UNKNOWN)
+        place = np.searchsorted(xs, outside.column("column").to_numpy())
+        above[place] = outside.column("above").fill_null(-UNKNOWN).to_numpy()
+        below[place] = outside.column("below").fill_null(UNKNOWN).to_numpy()
+        sq = _squares(above, below, true, y0, xs)[given]
+        row, col = np.nonzero(given)
+        return pa.table({"y": y0 + row, "x": xs[col], "sq": pa.array(sq, pa.int64(), mask=sq == UNKNOWN)})
+
+    return cells.groupBy("band").cogroup(outside.groupBy("of")).applyInArrow(rows, "y long, x long, sq long")
 
-    squares = columns.groupBy("band").applyInArrow(rows, "y long, x long, sq long")
-    return squares.select("y", "x", (F.sqrt(F.col("sq").cast("double")) * res).alias("distance"))
+
+def distance(mask: DataFrame, res: float = 1.0) -> DataFrame:
+    """(y, x, distance) to the nearest True cell, exact; NULL for an all-False mask."""
+    return squared_distance(mask).select("y", "x", (F.sqrt(F.col("sq").cast("double")) * res).alias("distance"))
 
 
 def gradient(grid: DataFrame, value: str) -> DataFrame:

@@ -109,6 +109,24 @@ def test_distance(spark):
     assert {r.distance for r in M.distance(grid(spark, ["..", ".."])).collect()} == {None}
 
 
+def test_distance_of_tall_wide_and_ragged_grids(spark, capsys):
+    rng = np.random.default_rng(4)
+    for height, width, share, kept, y0 in ((150, 5, 0.02, 0.8, -70), (3, 150, 0.01, 1.0, 62), (140, 40, 0.0005, 0.3, 0), (130, 6, 0.01, 1.0, 64 * 10**9)):
+        given = rng.random((height, width)) < kept
+        m = (rng.random((height, width)) < share) & given
+        m[tuple(np.argwhere(given)[0])] = True
+        cells = [(int(y) + y0, 3 * int(x) if kept < 0.5 else int(x), bool(m[y, x])) for y, x in np.argwhere(given)]
+        got = {(r.y, r.x): r.sq for r in M.squared_distance(spark.createDataFrame(cells, "y long, x long, m boolean")).collect()}
+        true = np.array([(y, x) for y, x, some in cells if some])
+        assert got == {(y, x): int(((true - (y, x)) ** 2).sum(1).min()) for y, x, _ in cells}
+    odd = [(None, 0, True), (None, 0, False), (0, 0, None), (0, 2, True), (0, 2, True)]
+    got = M.squared_distance(spark.createDataFrame(odd, "y long, x long, m boolean")).collect()
+    assert sorted((r.x, str(r.y), r.sq) for r in got) == [(0, "0", 4), (0, "None", None), (2, "0", 0)]
+    # a frame that ends below every row is read again for each of them
+    M.squared_distance(grid(spark, ["#."])).explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
 def test_ring_contrast_is_exact_in_any_order(spark):
     # the mean of the sixteen is 0.0005625, a tie at six digits; a floating sum misses it in some orders
     units = [41, -3, 17, -29, 8, 33, -12, 5, 26, -7, 14, -38, 19, 2, -11, 25]
