@@ -105,8 +105,8 @@ def a7(spark, sf_dir):
 
 @query("j9_nearest_cell", f"WITH {_mask_sql(0.27)} SELECT a.y, min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::BIGINT AS least FROM m a JOIN m b ON b.m GROUP BY a.y", "dense")
 def j9(spark, sf_dir):
-    d = M.distance(mask(spark, sf_dir, 0.27))
-    return d.groupBy("y").agg(F.min(F.bround(F.col("distance") * F.col("distance")).cast("long")).alias("least"))
+    d = M.squared_distance(mask(spark, sf_dir, 0.27)).where("y IS NULL OR sq IS NOT NULL")
+    return d.groupBy("y").agg(F.min("sq").alias("least"))
 
 
 @query("w6_box_fraction", f"WITH {_mask_sql(DENSE_T)}, r AS (SELECT y, x, sum(m::INT) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS s FROM m) SELECT y, x, (sum(s) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN 4 PRECEDING AND 3 FOLLOWING))::DOUBLE / 64 AS fraction FROM r", "dense")
