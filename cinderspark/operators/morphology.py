@@ -187,11 +187,14 @@ def squared_distance(mask: DataFrame) -> DataFrame:
     cells = mask.select("y", "x", "m", (F.col("y") - F.pmod("y", F.lit(BAND))).alias("band"))
     here = F.when(F.col("m"), F.col("y"))
     ends = cells.groupBy("band", "x").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    columns = ends.where("first IS NOT NULL").select("x").distinct()
-    every = ends.select("band").distinct().crossJoin(columns).join(ends, ["band", "x"], "left")
-    up = Window.partitionBy("x").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("x").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    outside = every.select(F.col("band").alias("of"), F.col("x").alias("column"), F.max("last").over(up).alias("above"), F.min("first").over(down).alias("below"))
+    # all three read both ends and no filter is inferred from the keys, so that Spark computes them once
+    bands = ends.where("first IS NULL OR first <= last").select(F.col("band").alias("of")).distinct()
+    columns = ends.where("first <= last").select(F.col("x").alias("column")).distinct()
+    same = F.col("of").eqNullSafe(F.col("band")) & F.col("column").eqNullSafe(F.col("x"))
+    every = bands.crossJoin(columns).join(ends, same, "left")
+    up = Window.partitionBy("column").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("column").orderBy(F.desc("of")).rowsBetween(Window.unboundedPreceding, -1)
+    outside = every.select("of", "column", F.max("last").over(up).alias("above"), F.min("first").over(down).alias("below"))
 
     def rows(cells: pa.Table, outside: pa.Table) -> pa.Table:
         if cells.column("y").null_count:
