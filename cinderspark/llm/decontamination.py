@@ -18,9 +18,9 @@ A name is a capitalised word that doesn't start a sentence; a unit is a word of
 UNITS right after a number.  An item shorter than a window is one window of its
 own length, which is slid over every document; an item of a placeholder alone
 is thus met by every document with such a word.  Items without words match
-nothing; null texts are empty.  Rows are told apart by a number of their own, so
-ids may be null or given twice and repeated rows are repeated in the result; an
-item given twice is matched once as each.  Of items that cover equally much the
+nothing; null texts are empty.  Rows are told apart by a number of their own (by
+their texts in ``decontaminate``), so ids may be null or given twice and repeated
+rows are repeated in the result; an item given twice is matched once as each.  Of items that cover equally much the
 one of the smallest id is reported.  Empty tables give no rows, or no matches.
 Ids are integers.
 """
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_maps import bounded_batches, map_texts
-from .runtime import hot_keys, salted_join, staged
+from .runtime import SALTS, hot_keys, salted_join, staged
 from .worker import kept
 
 #: Words of a window, and the covered share of an item's words that counts.
@@ -51,6 +51,8 @@ BITS_EACH, PROBES = 32, 4
 LEAST_BITS, MOST_BITS = 20, 28
 #: Words whose codes a worker keeps, and the longest of them.
 KEPT_WORDS, KEPT_CHARS = 400_000, 64
+#: Contaminated texts whose digests (32 bytes) are broadcast, at most; more are shuffled.
+MOST_BROADCAST = 65_536
 
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units, and numbers written as words, in English, French, German and Spanish.
@@ -337,6 +339,7 @@ def score_pair(n: int, hits: list[dict], window: int = WINDOW) -> tuple[float, b
 
 def _matches(hits: DataFrame, windows: DataFrame, coverage: float, window: int) -> DataFrame:
     """(row, item_id, coverage, reworded, first_word, end_word) of the items that contaminate a row, from (row, hits) staged."""
+    kind = dict(hits.dtypes)["row"]
     each = hits.select("row", F.explode("hits").alias("t")).select("row", "t.*")
     hot = staged(hot_keys(each.select("h"), "h"), "op9-hot")
     met = salted_join(each, windows, "h", hot).where(F.col("words") == F.col("item_words"))
@@ -350,7 +353,7 @@ def _matches(hits: DataFrame, windows: DataFrame, coverage: float, window: int)
             columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.float64(), pa.bool_(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), *columns], names=names)
 
-    schema = "row long, item_id long, coverage double, reworded boolean, first_word int, end_word int"
+    schema = f"row {kind}, item_id long, coverage double, reworded boolean, first_word int, end_word int"
     return bounded_batches(pairs.select("row", "item_id", "n", "hits")).mapInArrow(score, schema).where(F.col("coverage") >= coverage)
 
 
@@ -403,12 +406,21 @@ def decontaminate(
 ) -> DataFrame:
     """The rows that no item contaminates, with all their columns; ids play no part and may be null or given twice.
 
-    The documents are written once with a number for each row, by which the contaminated ones are left out.
+    A text alone decides, so rows are matched by its SHA-256: the documents are read twice and never written, and
+    what is staged are the windows that distinct texts may share with the benchmark.  ``docs`` must therefore give
+    the same texts each time it is read, as files do.
     """
     windows = benchmark_windows(benchmark, window, item_col, item_text)
-    row = "__op9_row"
-    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "op9-rows")
-    key = numbered.select(F.col(row).alias("key"), F.col(text_col).alias("_text"))
-    hits = staged(_candidates(key, windows).where(F.size("hits") > 0).withColumnRenamed("key", "row"), "op9-hits")
-    bad = staged(_matches(hits, windows, coverage, window).select(F.col("row").alias(row)).distinct(), "op9-contaminated")
-    return numbered.join(bad, row, "left_anti").select(docs.columns)
+    mark = "__op9_text"
+    keyed = docs.withColumn(mark, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    key = keyed.select(F.col(mark).alias("key"), F.col(text_col).alias("_text"))
+    met = _candidates(key, windows).where(F.size("hits") > 0)
+    hits = staged(met.groupBy(F.col("key").alias("row")).agg(F.any_value("hits").alias("hits")), "op9-hits")
+    bad = staged(_matches(hits, windows, coverage, window).select(F.col("row").alias(mark)).distinct(), "op9-contaminated")
+    if bad.count() <= MOST_BROADCAST:
+        return keyed.join(F.broadcast(bad), mark, "left_anti").select(docs.columns)
+    # the rows of a text may be many, so they are dealt over SALTS tasks and the contaminated texts stand in each
+    salt = "__op9_salt"
+    spread = keyed.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [mark, salt], "left_anti").select(docs.columns)

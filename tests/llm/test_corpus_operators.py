@@ -3,6 +3,7 @@
 import random
 import re
 import string
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ import xxhash
 
 from cinderspark.llm import decontamination, exact_dedup, secret_scan, simhash, toxicity
 from cinderspark.llm.vptree import Forest, distance, fit_routing, link
+from cinderspark.scratch import staged_paths
 
 WORDS = [a + b for a in ("th", "on", "er", "an", "re") for b in ("ing", "ed", "ly", "ou", "tion", "a")]
 
@@ -330,6 +332,20 @@ def test_short_items_inside_documents(spark):
     }
 
 
+@pytest.mark.parametrize("broadcast", [decontamination.MOST_BROADCAST, 0])
+def test_decontamination_writes_no_documents(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", broadcast)
+    rng = random.Random(31)
+    junk = [" ".join(f"{rng.getrandbits(64):016x}" for _ in range(500)) for _ in range(60)]
+    texts = junk + [junk[0]] * 20 + [f"{junk[1]} {ITEMS[0][1]}"] * 20 + [None, "", ITEMS[1][1]]
+    docs = spark.createDataFrame([(k % 7 or None, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    before = staged_paths(spark)
+    kept = decontamination.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert sorted((r.text for r in kept), key=str) == sorted(junk + [junk[0]] * 20 + [None, ""], key=str)
+    files = [f for p in staged_paths(spark) if p not in before for f in Path(p.removeprefix("file:")).rglob("*.parquet")]
+    assert 0 < sum(f.stat().st_size for f in files) < 100_000 < sum(map(len, junk)) / 4
+
+
 # --- toxicity ----------------------------------------------------------------
 def labelled(n=600):
     rng = random.Random(11)
